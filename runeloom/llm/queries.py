@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runeloom.llm.format_copies import copies_of_first, copy_counts, json_field
 from runeloom.llm.near_duplicates import near_duplicate_groups
+from runeloom.llm.sample import block_sample, sample_sql
+from runeloom.llm.visual_form import alike_pairs
 from runeloom.tables import table
 
 #: TESTDATA.md: three words in a row, texts of 8 words or more, 60 % in common.
@@ -20,5 +23,48 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return groups.where(F.col("id") != F.col("group")).select(F.col("group").alias("group_ordinal"), F.col("id").alias("ordinal"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found}
-ORACLES: dict[str, str] = {}
+#: 51 of the 1,024 positions of every block: 5 %.
+PER_BLOCK = 51
+
+
+def p1_sample(spark: SparkSession, d: str) -> DataFrame:
+    """The chosen 5 % of the parallel records, ids as a whole."""
+    rows = table(spark, d, "parallel_records", "ordinal", "id", "delivery", "en")
+    return block_sample(rows, "id", "en", "ordinal", "delivery", PER_BLOCK).select("ordinal", "id", "en")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of parallel records whose English texts differ but look the same."""
+    pairs = alike_pairs(table(spark, d, "parallel_records", "ordinal", "en"), "ordinal", "en")
+    return pairs.select(F.col("a").alias("ordinal_a"), F.col("b").alias("ordinal_b"))
+
+
+def _p4_sources(spark: SparkSession, d: str):
+    yield "parallel_records", table(spark, d, "parallel_records", "ordinal", "en"), "ordinal", F.col("en")
+    yield "shard_lines", table(spark, d, "shard_lines", "line_no", "line"), "line_no", json_field(F.col("line"), "en")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Copies of English stories that differ in format only, each with the first of its table."""
+    a, b = (copies_of_first(df, no, text).select(F.lit(name).alias("table_name"), "first_no", "copy_no") for name, df, no, text in _p4_sources(spark, d))
+    return a.unionByName(b)
+
+
+def p4_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Every distinct English story of either table with the number of its copies."""
+    a, b = (copy_counts(df, no, text).select(F.lit(name).alias("table_name"), "first_no", "copies", "collided") for name, df, no, text in _p4_sources(spark, d))
+    return a.unionByName(b)
+
+
+_CANON = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+_P4 = f"""WITH t AS (SELECT 'parallel_records' AS table_name, ordinal AS no, {_CANON.format('en')} AS c FROM parallel_records
+UNION ALL SELECT 'shard_lines', line_no, {_CANON.format("(CASE WHEN json_valid(line) THEN line ->> '$.en' END)")} FROM shard_lines),
+g AS (SELECT *, min(no) OVER (PARTITION BY table_name, c) AS first_no FROM t WHERE c <> '')
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_sample": p1_sample, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_counts": p4_counts}
+ORACLES: dict[str, str] = {
+    "p1_sample": sample_sql("parallel_records", "ordinal, id, en", "id", "en", "ordinal", "delivery", PER_BLOCK),
+    "p4_found": _P4 + "SELECT table_name, first_no, no AS copy_no FROM g WHERE no > first_no",
+    "p4_counts": _P4 + "SELECT table_name, first_no, count(*) AS copies, false AS collided FROM g GROUP BY ALL",
+}
