@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runeloom.llm.format_copies import copies_of_first, copy_counts, json_field
+from runeloom.llm.leaks import leaks
 from runeloom.llm.near_duplicates import near_duplicate_groups
+from runeloom.llm.overlap_index import overlaps
 from runeloom.llm.sample import block_sample, sample_sql
 from runeloom.llm.visual_form import alike_pairs
 from runeloom.tables import table
@@ -56,13 +58,48 @@ def p4_counts(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def _p5(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "parallel_records", "ordinal", "split", "en", "kz")
+    return overlaps(rows, "ordinal", ["en", "kz"], F.col("split").isin("val", "test"), F.col("split") == "train", **ALIKE)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of a train record and a val or test record that are alike."""
+    return _p5(spark, d).select(F.least("train", "eval").alias("ordinal_a"), F.greatest("train", "eval").alias("ordinal_b")).distinct()
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per split and source: evaluation records that train holds, exactly or nearly, and the train records that hold them."""
+    pairs = _p5(spark, d).groupBy("eval").agg(F.max(F.col("shared") / F.col("either")).alias("best"), F.count_distinct("train").alias("n"))
+    rows = table(spark, d, "parallel_records", "ordinal", "split", "source").where(F.col("split").isin("val", "test"))
+    r = rows.join(pairs, F.col("ordinal") == F.col("eval"), "left").groupBy("split", "source")
+    return r.agg(F.count(F.lit(1)).alias("records"), F.count("n").alias("in_train"), F.count_if(F.col("best") == 1).alias("exact"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"))
+
+
+def _p8(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", table(spark, d, "eval_items", "item_id", "text"), "item_id", "text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold an evaluation item: 12 of its words in a row, or all words of a shorter one."""
+    return _p8(spark, d).where("run >= need").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).distinct()
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """Each evaluation item with the number of documents that hold it in equal words, and in words of which some were substituted (12 or more, 3 of 4 equal)."""
+    x = _p8(spark, d).where("run >= need or (span >= 12 and equal * 4 >= span * 3)")
+    n = x.groupBy("item").agg(F.count_if(F.expr("run >= need")).alias("exact_docs"), F.count(F.lit(1)).alias("docs"), F.max("equal").alias("most_words"))
+    it = table(spark, d, "eval_items", "item_id", "suite", "split").join(n, F.col("item_id") == F.col("item"), "left")
+    return it.select("item_id", "suite", "split", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("exact_docs", "docs", "most_words")])
+
+
 _CANON = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
 _P4 = f"""WITH t AS (SELECT 'parallel_records' AS table_name, ordinal AS no, {_CANON.format('en')} AS c FROM parallel_records
 UNION ALL SELECT 'shard_lines', line_no, {_CANON.format("(CASE WHEN json_valid(line) THEN line ->> '$.en' END)")} FROM shard_lines),
 g AS (SELECT *, min(no) OVER (PARTITION BY table_name, c) AS first_no FROM t WHERE c <> '')
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_sample": p1_sample, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_counts": p4_counts}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_sample": p1_sample, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_counts": p4_counts, "p5_found": p5_found, "p5_report": p5_report, "p8_found": p8_found, "p8_report": p8_report}
 ORACLES: dict[str, str] = {
     "p1_sample": sample_sql("parallel_records", "ordinal, id, en", "id", "en", "ordinal", "delivery", PER_BLOCK),
     "p4_found": _P4 + "SELECT table_name, first_no, no AS copy_no FROM g WHERE no > first_no",
