@@ -11,7 +11,10 @@ from runeloom.llm.format_copies import copies_of_first, copy_counts, json_field
 from runeloom.llm.leaks import leaks
 from runeloom.llm.near_duplicates import near_duplicate_groups
 from runeloom.llm.overlap_index import overlaps
+from runeloom.llm.pack import containers
 from runeloom.llm.sample import block_sample, sample_sql
+from runeloom.llm.split_texts import split_texts
+from runeloom.llm.terms import map_terms, term_counts, text_terms, total_records
 from runeloom.llm.visual_form import alike_pairs
 from runeloom.tables import table
 
@@ -76,6 +79,45 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return r.agg(F.count(F.lit(1)).alias("records"), F.count("n").alias("in_train"), F.count_if(F.col("best") == 1).alias("exact"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"))
 
 
+def p6_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Every term of the texts in the made language and of the loan and unknown words, with its counts and mark."""
+    kz = table(spark, d, "parallel_records", "kz")
+    blocks, totals = text_terms(kz, "kz", "kz"), total_records(kz, "kz", F.count("kz"))
+    for field in ("loan_words", "unknown_words"):
+        stats = table(spark, d, "text_stats", "ordinal", field)
+        blocks = blocks.unionByName(map_terms(stats, "ordinal", field, field))
+        totals = totals.unionByName(total_records(stats, field, F.count_distinct("ordinal")))
+    return term_counts(blocks, totals).withColumnRenamed("field", "field_name")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """The terms that are too rare or too common."""
+    return p6_terms(spark, d).where("mark is not null").select("field_name", "term", "mark")
+
+
+def _limits(spark: SparkSession, d: str) -> list:
+    """The rows of size_limits, a table of a few rows that never grows."""
+    return sorted(tuple(r) for r in table(spark, d, "size_limits", "limit_name", "capacity", "overlap").collect())
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The documents' texts in containers of each capacity."""
+    limits = [(n, c) for n, c, _ in _limits(spark, d)]
+    return containers(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", limits).withColumnRenamed("id", "doc_id")
+
+
+def p7_room(spark: SparkSession, d: str) -> DataFrame:
+    """Containers of each capacity, the tokens in them and the share of room that stays unused."""
+    x = p7_containers(spark, d).where("container is not null").groupBy("limit_name", "capacity")
+    x = x.agg(F.count_distinct("container").alias("containers"), F.sum("tokens").alias("tokens"))
+    return x.withColumn("unused", 1 - F.col("tokens") / (F.col("containers") * F.col("capacity")))
+
+
+def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of the documents' texts that are over a limit."""
+    return split_texts(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", _limits(spark, d)).withColumnRenamed("id", "doc_id")
+
+
 def _p8(spark: SparkSession, d: str) -> DataFrame:
     return leaks(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", table(spark, d, "eval_items", "item_id", "text"), "item_id", "text")
 
@@ -99,9 +141,20 @@ UNION ALL SELECT 'shard_lines', line_no, {_CANON.format("(CASE WHEN json_valid(l
 g AS (SELECT *, min(no) OVER (PARTITION BY table_name, c) AS first_no FROM t WHERE c <> '')
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_sample": p1_sample, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_counts": p4_counts, "p5_found": p5_found, "p5_report": p5_report, "p8_found": p8_found, "p8_report": p8_report}
+_P6 = """WITH w AS (SELECT ordinal, unnest(regexp_extract_all(lower(kz), '[\\p{L}\\p{N}]+')) AS term FROM parallel_records),
+k AS (SELECT 'kz' AS field_name, term, count(*) AS occurrences, count(DISTINCT ordinal) AS records FROM w GROUP BY term),
+e AS (SELECT DISTINCT 'loan_words' AS field_name, ordinal, unnest(map_entries(loan_words)) AS e FROM text_stats
+  UNION ALL SELECT DISTINCT 'unknown_words', ordinal, unnest(map_entries(unknown_words)) FROM text_stats),
+s AS (SELECT field_name, lower(trim(e.key)) AS term, sum(e.value)::BIGINT AS occurrences, count(DISTINCT ordinal) AS records FROM e GROUP BY ALL),
+n AS (SELECT 'kz' AS field_name, count(kz) AS total FROM parallel_records UNION ALL SELECT f, count(DISTINCT ordinal) FROM text_stats, (VALUES ('loan_words'), ('unknown_words')) v(f) GROUP BY f),
+r AS (SELECT field_name, term, occurrences, records, CASE WHEN records <= 2 THEN 'rare' WHEN records > 0.1 * total THEN 'common' END AS mark FROM (FROM k UNION ALL FROM s) JOIN n USING (field_name) WHERE term <> '')
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_sample": p1_sample, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_counts": p4_counts, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_terms": p6_terms, "p7_containers": p7_containers, "p7_room": p7_room, "p8_found": p8_found, "p8_report": p8_report, "p9_pieces": p9_pieces}
 ORACLES: dict[str, str] = {
     "p1_sample": sample_sql("parallel_records", "ordinal, id, en", "id", "en", "ordinal", "delivery", PER_BLOCK),
     "p4_found": _P4 + "SELECT table_name, first_no, no AS copy_no FROM g WHERE no > first_no",
     "p4_counts": _P4 + "SELECT table_name, first_no, count(*) AS copies, false AS collided FROM g GROUP BY ALL",
+    "p6_found": _P6 + "SELECT field_name, term, mark FROM r WHERE mark IS NOT NULL",
+    "p6_terms": _P6 + "FROM r",
 }
