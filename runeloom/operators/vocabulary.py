@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runeloom.functions.english import ly_bases_col, participle_candidates_col
+from runeloom.work import materialize
 
 # Categories of function words -> parts of speech that they may cover.
 COVERED_POS = {
@@ -136,7 +137,8 @@ def coverage(tokens: DataFrame, functions: DataFrame, alias: DataFrame | None =
         c = x.withColumns({"lemma": F.when(hit, F.col("to_lemma")).otherwise(F.col("lemma")), "pos": F.when(hit, F.col("to_pos")).otherwise(F.col("pos"))}).drop("to_lemma", "to_pos")
     c = move_bucket(c, function_items, "function") if function_items is not None else c
     c = move_bucket(c, skip, "absorbed") if skip is not None else c
-    senses = sense_counts(c)
+    c = materialize(c, "classified")  # distinct words: small beside the texts, which are read once
+    senses = materialize(sense_counts(c), "senses")
     senses = rekey(senses, fold_adverbs(senses))
     senses = rekey(senses, fold_participles(senses))
     total = c.agg(F.sum("n").alias("words"), F.sum(F.when(~F.col("bucket").isin("content", "fgap"), F.col("n")).otherwise(0)).alias("free"))

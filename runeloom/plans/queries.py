@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runeloom.functions import english, loan, morphology, text
-from runeloom.operators import lexicon, near, packing, phonotactics, tagging, vocabulary
+from runeloom.operators import glosses, lexicon, near, packing, phonotactics, tagging, translation, vocabulary, wordgen
 from runeloom.sources.records import parse_records
 from runeloom.tables import table
 from runeloom.work import materialize
@@ -367,3 +367,83 @@ def lexicon_collisions(spark: SparkSession, d: str) -> DataFrame:
 def lexicon_check(spark: SparkSession, d: str) -> DataFrame:
     """All findings about the lexicon."""
     return lexicon.validate(table(spark, d, "lexicon"), table(spark, d, "function_words"))
+
+
+# --- glosses ------------------------------------------------------------------
+
+
+def _analyzed(spark: SparkSession, d: str) -> DataFrame:
+    types = glosses.token_types(table(spark, d, "parallel_records", "kz"), "kz")
+    return glosses.analyze_types(types, table(spark, d, "lexicon"), table(spark, d, "function_words"))
+
+
+@query
+def gloss_types(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct tokens of the texts in the made language, taken apart."""
+    return _analyzed(spark, d)
+
+
+@query
+def validate_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of each kind and their share."""
+    return glosses.kind_counts(_analyzed(spark, d)).select("kind", "tokens", F.round("share", 6).alias("share"))
+
+
+@query
+def unknown_words(spark: SparkSession, d: str) -> DataFrame:
+    """The 30 most frequent tokens that aren't of the language."""
+    return glosses.unknown_words(_analyzed(spark, d))
+
+
+@query
+def validate_records(spark: SparkSession, d: str) -> DataFrame:
+    """Every record's words by kind, and whether its text is in the made language."""
+    return glosses.validate_texts(table(spark, d, "parallel_records", "ordinal", "kz"), "ordinal", "kz", table(spark, d, "lexicon"), table(spark, d, "function_words")).withColumnRenamed("id", "ordinal")
+
+
+# --- translation and new words ------------------------------------------------
+
+
+@query
+def translate_records(spark: SparkSession, d: str) -> DataFrame:
+    """Every English story in the made language, by rule."""
+    lang = translation.load_language(table(spark, d, "lexicon"), table(spark, d, "function_words"))
+    return translation.translate(table(spark, d, "parallel_records", "ordinal", "en"), "ordinal", "en", lang).withColumnRenamed("id", "ordinal")
+
+
+def _generator(spark: SparkSession, d: str) -> tuple[wordgen.Sampler, wordgen.TrigramScore, wordgen.Filters]:
+    """Sampler, score and filters from the lexicon, a table that never grows."""
+    w = _roots(spark, d).select("word", F.lit("all").alias("source")).distinct()
+    counts = phonotactics.blend(phonotactics.sound_counts(w), w.groupBy("source").agg(F.count(F.lit(1)).alias("words")), {"all": 1.0})
+    blended: dict[str, dict[str, float]] = {}
+    for r in counts.where(F.col("kind").isin("initial", "final", "medial", "syllables")).orderBy("kind", "key").collect():
+        blended.setdefault(r.kind, {})[r.key] = r.p
+    score = wordgen.TrigramScore({(r.a, r.b, r.c): r.n for r in phonotactics.trigrams(w).collect()})
+    return wordgen.Sampler(blended), score, wordgen.Filters(existing=frozenset(r.word for r in w.collect()))
+
+
+@query
+def new_roots(spark: SparkSession, d: str) -> DataFrame:
+    """A hundred new roots that fit the lexicon and stay apart."""
+    sampler, score, filters = _generator(spark, d)
+    found = wordgen.generate_roots(spark, sampler, score, filters, 100)
+    return spark.createDataFrame(found, "word string, percentile double")
+
+
+@query
+def root_scores(spark: SparkSession, d: str) -> DataFrame:
+    """How every word of the made language scores among sampled ones."""
+    sampler, score, _ = _generator(spark, d)
+    return wordgen.score_words(_roots(spark, d), score, wordgen.reference_scores(sampler, score), wordgen.Filters())
+
+
+@query
+def review_batch(spark: SparkSession, d: str) -> DataFrame:
+    """The next hundred senses for the lexicon, with words proposed for them."""
+    from runeloom.operators import review
+
+    sampler, score, filters = _generator(spark, d)
+    covered = lexicon.sense_index(table(spark, d, "lexicon"))
+    taken = [(r.kz, r.pos) for r in covered.select("kz", "pos").distinct().collect()] + [(r.kz, "") for r in table(spark, d, "function_words", "kz").collect()]
+    w = materialize(vocabulary.with_examples(_coverage(spark, d)[1], table(spark, d, "parallel_records", "ordinal", "en"), "ordinal", "en"), "worklist")
+    return review.propose(spark, w, covered, taken, sampler, score, filters, review.Seeds(), 100)
