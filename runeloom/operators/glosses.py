@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runeloom.functions.glossing import Glosser
+from runeloom.work import spread
 
 #: Rows of the lexicon up to which it is taken to the driver and broadcast; a language has no more words.
 MAX_ENTRIES = 200_000
@@ -82,7 +83,7 @@ def validate_texts(df: DataFrame, id_col: str, text_col: str, content: DataFrame
 
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {src.schema['id'].dataType.simpleString()}, " + ", ".join(f"{k} bigint" for k in KINDS) + ", ok boolean"
-    return src.mapInPandas(run, schema)
+    return spread(src).mapInPandas(run, schema)
 
 
 def kind_counts(analyzed: DataFrame) -> DataFrame:

@@ -77,13 +77,15 @@ def propose(spark: SparkSession, worklist: DataFrame, covered: DataFrame, taken:
     for w, p in [*taken, *((o["proposed"], "") for o in out.values())]:
         guard.add(w, [p] if p else [])
     used = NearSet([w for w, _ in taken] + [o["proposed"] for o in out.values()])
-    pools: dict[int, list[str]] = {}
+    pools: dict[tuple[int, float], list[str]] = {}
 
     def take(count: int, syllables: int, pos: set[str], keep: bool) -> list[str]:
         got: list[str] = []
         for more, least in RELAXATIONS:
-            key = syllables + more
-            pool = pools.setdefault(key * 100 + int(least), [w for w, _ in generate_roots(spark, sampler, score, filters, max(60, 8 * len(chosen)), key, least, tries=40_000)])
+            key = (syllables + more, least)
+            if key not in pools:
+                pools[key] = [w for w, _ in generate_roots(spark, sampler, score, filters, max(60, 8 * len(chosen)), *key, tries=40_000)]
+            pool = pools[key]
             for w in list(pool):
                 if len(got) == count:
                     return got

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from runeloom.functions.parsing import TOKEN_SCHEMA, Token
 from runeloom.functions.rewriting import Language, Stats, Translator
 from runeloom.operators.glosses import MAX_ENTRIES
+from runeloom.work import spread
 
 RESULT = "kz string, words bigint, loans bigint, loan_rate double, unknown bigint, names bigint, loan_words map<string,bigint>, unknown_words map<string,bigint>"
 
@@ -43,7 +44,7 @@ def translate(df: DataFrame, id_col: str, text_col: str, lang: Language) -> Data
             yield _frame(p["id"], [_row(None, Stats()) if x is None else _row(*t.translate(x)) for x in p["text"]])
 
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return src.mapInPandas(run, f"id {src.schema['id'].dataType.simpleString()}, {RESULT}")
+    return spread(src).mapInPandas(run, f"id {src.schema['id'].dataType.simpleString()}, {RESULT}")
 
 
 def translate_parsed(df: DataFrame, id_col: str, sentences_col: str, lang: Language) -> DataFrame:
@@ -61,7 +62,7 @@ def translate_parsed(df: DataFrame, id_col: str, sentences_col: str, lang: Langu
             yield _frame(p["id"], rows)
 
     src = df.select(F.col(id_col).alias("id"), F.col(sentences_col).cast(f"array<{TOKEN_SCHEMA}>").alias("s"))
-    return src.mapInPandas(run, f"id {src.schema['id'].dataType.simpleString()}, {RESULT}")
+    return spread(src).mapInPandas(run, f"id {src.schema['id'].dataType.simpleString()}, {RESULT}")
 
 
 def translate_text(text: str, lang: Language) -> tuple[str, Stats]:
