@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from runeloom.llm.verify import long_texts, verify
 from runeloom.llm.words import shingles, words
 from runeloom.operators.graph import components
-from runeloom.work import materialize
+from runeloom.work import materialize, spread
 
 POSITIONS, PER_KEY = 160, 4
 KEYS = POSITIONS // PER_KEY
@@ -178,7 +178,7 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, fields: list[str], size: in
     smallest id of its class. Nulls, blank and short texts match nothing; rows with a null id are left out; other columns are ignored."""
     n = len(fields)
     src = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), *[F.col(f).alias(f"t{i}") for i, f in enumerate(fields)])
-    feats = materialize(src.mapInArrow(_features(size, least_words, n), "id bigint, cls bigint, sig binary"), "features")
+    feats = materialize(spread(src).mapInArrow(_features(size, least_words, n), "id bigint, cls bigint, sig binary"), "features")
     firsts = feats.where("sig is not null")
     posts = firsts.select("cls", "sig").mapInArrow(_postings, "key bigint, cls bigint").repartition("key").sortWithinPartitions("key", "cls")
     found = materialize(posts.mapInArrow(_lists, "a bigint, b bigint, key bigint, block int"), "candidates")

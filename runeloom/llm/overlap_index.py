@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from runeloom.llm.verify import long_texts, verify
 from runeloom.llm.words import window_hashes, whole_windows, word_hashes, words
-from runeloom.work import materialize, new_path
+from runeloom.work import materialize, new_path, spread
 
 CONTEXT, SEED, STRIDE = 8, 6, 3
 #: Texts of fewer words are searched from every word.
@@ -197,7 +197,7 @@ def overlaps(df: DataFrame, id_col: str, fields: list[str], is_eval: Column, is_
     once in all; every one of them is in the result, which the pairs of copies make as large as it is."""
     spark, n = df.sparkSession, len(fields)
     cols = [F.col(id_col).cast("bigint").alias("id"), *[F.col(f).alias(f"t{i}") for i, f in enumerate(fields)]]
-    held, train = (df.where(c & F.col(id_col).isNotNull()).select(*cols) for c in (is_eval, is_train))
+    held, train = (spread(df.where(c & F.col(id_col).isNotNull()).select(*cols)) for c in (is_eval, is_train))
     members = materialize(held.mapInArrow(_classes(least_words, n), "key bigint, cls bigint, n bigint"), "held")
     classes = materialize(members.groupBy("cls").agg(F.min("key").alias("rep"), F.first("n").alias("n")), "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0

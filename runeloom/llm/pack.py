@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runeloom.llm.tokens import TOKENIZER, broadcast_ranks, tokenizer
-from runeloom.work import materialize
+from runeloom.work import materialize, spread
 
 SHARD = 8192
 #: Weights of tokens, documents and attention cost in the residual norm.
@@ -64,7 +64,7 @@ def token_counts(df: DataFrame, id_col: str, text_col: str, path: str = TOKENIZE
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([tok.count(t) for t in b.column(1).to_pylist()], pa.int64())], names=["id", "tokens"])
 
-    return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id bigint, tokens bigint")
+    return spread(df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, "id bigint, tokens bigint")
 
 
 def _pack(pdf: pd.DataFrame) -> pd.DataFrame:

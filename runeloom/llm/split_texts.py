@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runeloom.llm.tokens import TOKENIZER, Tokenizer, broadcast_ranks, tokenizer
+from runeloom.work import spread
 
 TOKEN, WORD, CLAUSE, SENTENCE, LINE, PARAGRAPH = range(6)
 #: What a boundary of each strength follows; the boundary is the end of the match. A sentence or clause ends before the space, which belongs to the next word's token.
@@ -143,4 +144,4 @@ def split_texts(df: DataFrame, id_col: str, text_col: str, limits: list[tuple[st
                     rows, held = [], 0
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], x) for k, x in enumerate(types)], names=["id", "limit_name", "piece", "first_token", "end_token", "text"])
 
-    return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null").mapInArrow(run, "id bigint, limit_name string, piece int, first_token bigint, end_token bigint, text string")
+    return spread(df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")).mapInArrow(run, "id bigint, limit_name string, piece int, first_token bigint, end_token bigint, text string")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runeloom.llm.words import words
-from runeloom.work import materialize
+from runeloom.work import materialize, spread
 
 #: Numbers in one range: two arrays of 8 bytes each make 1 MB.
 RANGE = 1 << 16
@@ -65,7 +65,7 @@ def text_terms(df: DataFrame, text_col: str, field: str) -> DataFrame:
                 block = _Block()
         yield block.rows(field)
 
-    return df.select(text_col).where(F.col(text_col).isNotNull()).mapInArrow(run, _COUNTS)
+    return spread(df.select(text_col).where(F.col(text_col).isNotNull())).mapInArrow(run, _COUNTS)
 
 
 def map_terms(df: DataFrame, id_col: str, map_col: str, field: str) -> DataFrame:
