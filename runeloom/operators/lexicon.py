@@ -10,6 +10,7 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runeloom.functions.morphology import PARADIGM, inflect_col
 from runeloom.functions.sounds import root_problems
@@ -40,9 +41,9 @@ def function_words(functions: DataFrame, cats: Iterable[str] | None = None) -> D
     return e.groupBy("word").agg(F.min_by("kz", F.struct("o", "kz")).alias("kz"))
 
 
-@F.udf("string")
-def _problems(word):
-    return "; ".join(root_problems(word)) if word else None
+@F.pandas_udf(T.StringType())
+def _problems(words: pd.Series) -> pd.Series:
+    return words.map(lambda w: "; ".join(root_problems(w)) if w else None)
 
 
 def paradigm(content: DataFrame) -> DataFrame:
