@@ -89,7 +89,7 @@ def parse_tagged_list(df: DataFrame, source: str, other: str, start: str, stop:
     m = lambda k: F.regexp_extract("line", r"^([^(:”]+)(?:\(([^)]*)\))?[ :”]*(.*)$", k)
     x = x.select("no", F.trim(m(1)).alias("head"), F.lower(m(2)).alias("t"), F.trim(m(3)).alias("gloss"), F.col("line").rlike("[(:”]").alias("has")).where("has").where(F.col("head").rlike(r"(?U)^\p{Lu}"))
     t = F.col("t")
-    kind = F.when(t == "ai", "exclude").when(t.contains("khazalid") & ~t.contains("zharralid"), "dup").otherwise("native")
+    kind = F.when(t == "ai", "exclude").when(t.contains(other) & ~t.contains(source), "dup").otherwise("native")
     tag = F.when(t.contains(source[:4]), source).when(t.contains(other[:4]), other).when(t.contains("specul"), "speculative").otherwise("uncertain")
     x = x.select("no", F.posexplode(split_heads(F.col("head"))).alias("k", "word"), kind.alias("kind"), tag.alias("tag"), "gloss")
     kind = F.when(F.col("kind") != "native", F.col("kind")).when(F.col("word").isin(*calques), "calque").when(F.col("word").isin(*english) | (F.length("word") < 2), "exclude").otherwise("native")
