@@ -1,11 +1,11 @@
 """Near-duplicate texts by a byte-position inverted index with count filtering.
 
-Every text gets a signature of 160 bytes: position k holds one byte of the smallest value that the k-th
+Every text gets a signature of 192 bytes: position k holds one byte of the smallest value that the k-th
 permutation gives to any of its word sequences. Two texts whose sets have the share j in common agree at a
 position with probability j (+ 1/256). The inverted index maps positions with their bytes to texts. A list
 for one byte would hold 1/256 of all texts, so four neighbouring positions form one key; a pair is tallied
 under each key that it shares, four positional bytes each, and is retained from one key (four bytes) on.
-Texts with j = 0.6 share a key with probability 0.996, with 0.65 0.9996, with 0.7 0.99998. What remains is
+Texts with j = 0.6 share a key with probability 0.9987, with 0.65 0.9999, with 0.7 0.999998. What remains is
 compared exactly.
 
 Copies (same words in the same order) are one class and enter the index once per task. A key's list is never
@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runeloom.llm.verify import long_texts, verify
-from runeloom.llm.words import shingles, words
+from runeloom.llm.words import shingles, slices, words
 from runeloom.operators.graph import components
 from runeloom.work import materialize, spread
 
-POSITIONS, PER_KEY = 160, 4
+POSITIONS, PER_KEY = 192, 4
 KEYS = POSITIONS // PER_KEY
 #: Members of an index list up to which its pairs are made in one task.
 BLOCK = 512
@@ -56,7 +56,7 @@ def signatures(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def _features(size: int, least_words: int, fields: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(0).to_numpy()
             for f in range(fields):
                 split = [words(t) for t in batch.column(1 + f).to_pylist()]
@@ -163,8 +163,14 @@ def _block_pairs(least: int):
     return run
 
 
-def _hot_pairs(hot: DataFrame, sigs: DataFrame, least: int = 29) -> DataFrame:
-    """Pairs within long index lists, block against block. ``least``: positional bytes that a pair with j = 0.6 shares but for one in 10**8 (mean 58, deviation 6.2)."""
+def least_bytes(threshold: tuple[int, int]) -> int:
+    """The positional bytes that a pair at the threshold shares at least, but for one in 10**9: six deviations under the mean."""
+    j = threshold[0] / threshold[1]
+    return max(0, int(POSITIONS * j - 6 * (POSITIONS * j * (1 - j)) ** 0.5))
+
+
+def _hot_pairs(hot: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
+    """Pairs within long index lists, block against block, that share ``least`` positional bytes."""
     last = hot.groupBy("key").agg(F.max("block").alias("last"))
     m = hot.select("key", "block", F.col("a").alias("cls")).join(last, "key")
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
@@ -186,7 +192,7 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, fields: list[str], size: in
     hot = found.where("key is not null").select("a", "key", "block")
     if not hot.isEmpty():
         sigs = firsts.groupBy("cls").agg(F.first("sig").alias("sig"))
-        pairs = pairs.select("a", "b").unionByName(_hot_pairs(hot, sigs)).distinct()
+        pairs = pairs.select("a", "b").unionByName(_hot_pairs(hot, sigs, least_bytes(threshold))).distinct()
     classes = feats.groupBy("cls").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(classes, "classes")
     key = lambda c: (F.col("rep") * n + F.pmod(F.col("cls"), F.lit(n))).alias(c)

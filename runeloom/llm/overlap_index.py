@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runeloom.llm.verify import long_texts, verify
-from runeloom.llm.words import window_hashes, whole_windows, word_hashes, words
+from runeloom.llm.words import slices, window_hashes, whole_windows, word_hashes, words
 from runeloom.work import materialize, new_path, spread
 
 CONTEXT, SEED, STRIDE = 8, 6, 3
@@ -42,7 +42,7 @@ def class_of(split: list[str]) -> int:
 
 def _classes(least_words: int, fields: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ids = b.column(0).to_pylist()
             for f in range(fields):
                 split = [words(t) for t in b.column(1 + f).to_pylist()]
@@ -54,6 +54,7 @@ def _classes(least_words: int, fields: int):
 
 def build(texts: list[str]) -> dict[str, np.ndarray]:
     """The index of a shard's texts, in their order. Word 0 ends every text; no search contains it."""
+    texts = texts or [""]
     hashes, offsets = word_hashes([words(t) for t in texts])
     vocabulary, ids = np.unique(hashes, return_inverse=True)
     n = len(hashes) + len(texts)
@@ -129,32 +130,36 @@ def _load(path: str) -> tuple[Searcher, np.ndarray]:
         _LOADED.clear()
         files, root = fs.FileSystem.from_uri(path)
         parts: dict[str, list[tuple[int, str, bytes]]] = {}
-        for info in files.get_file_info(fs.FileSelector(root)):
+        for info in files.get_file_info(fs.FileSelector(root, allow_not_found=True)):
             if info.base_name.endswith(".parquet"):
                 for r in pq.read_table(info.path, filesystem=files, partitioning=None).to_pylist():
                     parts.setdefault(r["name"], []).append((r["part"], r["dtype"], r["data"]))
         arrays = {k: np.frombuffer(b"".join(x[2] for x in sorted(v)), dtype=v[0][1]) for k, v in parts.items()}
+        if not arrays:  # a shard without texts
+            arrays = build([]) | {"classes": np.zeros(0, np.int64)}
         _LOADED[path] = Searcher({k: v for k, v in arrays.items() if k != "classes"}), arrays["classes"]
     return _LOADED[path]
 
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    texts, classes = [], []
+    """One partition is one shard."""
+    texts, classes, shard = [], [], 0
     for b in batches:
+        shard = b.column("shard")[0].as_py() if b.num_rows else shard
         texts += b.column("text").to_pylist()
         classes += b.column("cls").to_pylist()
     if texts:
         for name, a in (build(texts) | {"classes": np.array(classes, dtype=np.int64)}).items():
             raw = a.tobytes()
             for part in range(-(-len(raw) // _PART)):
-                yield pa.RecordBatch.from_pydict({"name": [name], "dtype": [a.dtype.str], "part": pa.array([part], pa.int32()), "data": [raw[part * _PART : (part + 1) * _PART]]})
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "name": [name], "dtype": [a.dtype.str], "part": pa.array([part], pa.int32()), "data": [raw[part * _PART : (part + 1) * _PART]]})
 
 
 def _stream(path: str, least_words: int, fields: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searcher, classes = _load(path)
         memo: dict[int, list[tuple[int, int, int]]] = {}
-        for b in batches:
+        for b in slices(batches):
             ids = b.column(0).to_pylist()
             rows = []
             for f in range(fields):
@@ -204,14 +209,13 @@ def overlaps(df: DataFrame, id_col: str, fields: list[str], is_eval: Column, is_
     shards = -(-total // SHARD_WORDS) or 1
     names = [f"t{i}" for i in range(n)]
     chosen = classes.join(long_texts(held, "id", names), F.col("rep") == F.col("key")).select("cls", "text")
-    found = []
-    for k in range(shards if total else 0):
-        path = new_path(spark, "index")
-        part = chosen.where(F.pmod(F.xxhash64("cls"), F.lit(shards)) == k)
-        part.repartition(1).mapInArrow(_build, "name string, dtype string, part int, data binary").write.option("compression", "zstd").parquet(path)
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        path = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString().replace("file:/", "file:///", 1) if not path.startswith("file://") else path
-        found.append(train.mapInArrow(_stream(path, least_words, n), "key bigint, cls bigint, other bigint, covered bigint, spans bigint"))
+    path = new_path(spark, "index")
+    sharded = chosen.withColumn("shard", F.pmod(F.xxhash64("cls"), F.lit(shards)).cast("int")).repartitionById(shards, F.col("shard"))
+    sharded.mapInArrow(_build, "shard int, name string, dtype string, part int, data binary").write.option("compression", "zstd").partitionBy("shard").parquet(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    path = "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
+    found = [train.mapInArrow(_stream(f"{path}/shard={k}", least_words, n), "key bigint, cls bigint, other bigint, covered bigint, spans bigint") for k in range(shards if total else 0)]
     if not found:
         return spark.createDataFrame([], "train bigint, eval bigint, field int, covered bigint, spans bigint, shared int, either int")
     hits = materialize(reduce(DataFrame.unionByName, found), "hits")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runeloom.llm.words import words
+from runeloom.llm.words import slices, words
 from runeloom.work import materialize, spread
 
 #: Numbers in one range: two arrays of 8 bytes each make 1 MB.
@@ -58,7 +58,7 @@ def text_terms(df: DataFrame, text_col: str, field: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = _Block()
-        for b in batches:
+        for b in slices(batches):
             block.add([words(t) for t in b.column(0).to_pylist()])
             if len(block) >= BLOCK_TERMS or block.n >= BLOCK_RECORDS:
                 yield block.rows(field)

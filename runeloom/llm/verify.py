@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runeloom.llm.words import shingles, words
+from runeloom.llm.words import shingles, slices, words
 
 #: Bits of the filter that keeps texts nobody asks for out of the shuffle: 8 MB at most, whatever the data.
 FILTER_BITS = 1 << 26
@@ -35,7 +35,7 @@ def _compare(size: int, least_words: int, threshold: tuple[int, int]):
     num, den = threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             sets: dict[str, tuple[int, set[int]]] = {}
             texts = list(dict.fromkeys(b.column("ta").to_pylist() + b.column("tb").to_pylist()))
             split = [words(t) for t in texts]

@@ -6,9 +6,11 @@ A word is a longest run of letters and digits (Unicode categories L and N), in l
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 WORD = re.compile(r"[^\W_]+")
@@ -30,6 +32,14 @@ class _Memo(dict):
 _MEMO = _Memo()
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 2000, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of at most ``rows`` rows, fewer where rows are long, so that a worker's memory doesn't follow the batches' size."""
+    for b in batches:
+        n = max(1, min(rows, b.num_rows * size // max(b.nbytes, 1)))
+        for at in range(0, b.num_rows, n):
+            yield b.slice(at, n)
+
+
 def words(text: str | None) -> list[str]:
     """The words of a text; none of a null."""
     if not text:
