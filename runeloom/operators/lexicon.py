@@ -163,3 +163,23 @@ def load_content_yaml(spark, paths: Iterable[str]) -> DataFrame:
                 raise ValueError(f"{x['kz']}: bad sense {bad[0]!r}")
             rows.append((x["kz"], x["en"], x["origin"], x.get("from"), x.get("base"), x.get("notes"), p.stem))
     return spark.createDataFrame(pd.DataFrame(rows, columns=["kz", "en", "origin", "from_lang", "base", "notes", "tier"]) if rows else [], "kz string, en array<string>, origin string, from_lang string, base string, notes string, tier string")
+
+
+def write_content_yaml(content: DataFrame, folder: str) -> list[Path]:
+    """Content words (with ``tier``) back to one YAML file for each tier; files that wouldn't change are left alone. Returns the files written."""
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError("writing YAML needs PyYAML") from e
+    tiers: dict[str, list[dict]] = {}
+    for r in content.orderBy("tier", "kz").collect():
+        entry = {"kz": r.kz, "en": list(r.en), "origin": r.origin, "from": r.from_lang, "base": r.base, "notes": r.notes if "notes" in content.columns else None}
+        tiers.setdefault(r.tier, []).append({k: v for k, v in entry.items() if v})
+    written = []
+    for tier, entries in tiers.items():
+        p, text = Path(folder) / f"{tier}.yaml", yaml.safe_dump({"entries": entries}, allow_unicode=True, sort_keys=False)
+        if not p.exists() or p.read_text(encoding="utf-8") != text:
+            p.parent.mkdir(parents=True, exist_ok=True)
+            p.write_text(text, encoding="utf-8")
+            written.append(p)
+    return written

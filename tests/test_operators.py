@@ -164,6 +164,9 @@ def test_yaml_and_fingerprint(spark, tmp_path):
     a.write_bytes(a.read_bytes().replace(b"\r\n", b"\n"))
     assert lexicon.fingerprint([str(a)]) == one and len(one) == 12
     assert [(r.kz, r.tier) for r in lexicon.load_content_yaml(spark, [str(a), str(b)]).collect()] == [("grund", "core")]
+    out = lexicon.load_content_yaml(spark, [str(a)])
+    assert [p.name for p in lexicon.write_content_yaml(out, f"{tmp_path}/new")] == ["core.yaml"] and lexicon.write_content_yaml(out, f"{tmp_path}/new") == []
+    assert lexicon.load_content_yaml(spark, [f"{tmp_path}/new/core.yaml"]).collect() == out.collect()
     for text in ("- {kz: x, en: [yes], origin: invented}", "- {kz: x, en: [anvil], origin: invented}", "- {kz: x, en: [anvil/METAL], origin: invented}"):
         b.write_text("entries:\n" + text)
         with pytest.raises(ValueError):
