@@ -55,26 +55,33 @@ def _classes(least_words: int, fields: int):
 def build(texts: list[str]) -> dict[str, np.ndarray]:
     """The index of a shard's texts, in their order. Word 0 ends every text; no search contains it."""
     texts = texts or [""]
-    hashes, offsets = word_hashes([words(t) for t in texts])
-    vocabulary, ids = np.unique(hashes, return_inverse=True)
+    parts = [word_hashes([words(t) for t in texts[i : i + 1000]]) for i in range(0, len(texts), 1000)]
+    hashes = np.concatenate([h for h, _ in parts])
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(o) for _, o in parts]))])
+    del parts
+    vocabulary = np.unique(hashes)
     n = len(hashes) + len(texts)
     text = np.zeros(n, dtype=np.int32)
     starts = offsets[:-1] + np.arange(len(texts))  # each text is followed by a 0
-    at = np.arange(len(hashes)) + np.repeat(np.arange(len(texts)), np.diff(offsets))
-    text[at] = ids + 1
-    rank = text.astype(np.int64)
-    k = 1
-    while True:  # after this round, rows are in the order of their first 2k words
-        ahead = np.zeros(n, dtype=np.int64)
-        ahead[: n - k] = rank[k:] + 1
-        key = rank * (int(rank.max()) + 2) + ahead
+    text[np.arange(len(hashes)) + np.repeat(np.arange(len(texts)), np.diff(offsets))] = np.searchsorted(vocabulary, hashes) + 1
+    rank, k = text, 1
+    while True:  # after a round, rows are in the order of their first 2k words
+        key = rank.astype(np.int64)
+        key *= int(rank.max()) + 2
+        key[: n - k] += rank[k:]
+        key[: n - k] += 1
+        order = np.argsort(key, kind="stable")
         if 2 * k >= CONTEXT:
-            order = np.argsort(key, kind="stable").astype(np.int32)
+            order = order.astype(np.int32)
             break
-        _, rank = np.unique(key, return_inverse=True)
+        key = key[order]
+        rank = np.empty(n, dtype=np.int32)
+        rank[order] = np.concatenate([[0], np.cumsum(key[1:] != key[:-1], dtype=np.int32)])
         k *= 2
-    bwt = text[order - 1]  # row 0 of the text is preceded by its last 0
-    occ = bwt.astype(np.int64) * (n + 1) + np.arange(n)
+    del rank, key
+    occ = text[order - 1].astype(np.int64)  # the word before each suffix; the first text is preceded by the last 0
+    occ *= n + 1
+    occ += np.arange(n)
     occ.sort()
     seeds = window_hashes(hashes, tuple(range(SEED)))[whole_windows(offsets, SEED)] if len(hashes) >= SEED else np.zeros(0, np.uint64)
     bits = np.zeros(1 << (_BITS - 3), dtype=np.uint8)
@@ -132,9 +139,15 @@ def _load(path: str) -> tuple[Searcher, np.ndarray]:
         parts: dict[str, list[tuple[int, str, bytes]]] = {}
         for info in files.get_file_info(fs.FileSelector(root, allow_not_found=True)):
             if info.base_name.endswith(".parquet"):
-                for r in pq.read_table(info.path, filesystem=files, partitioning=None).to_pylist():
-                    parts.setdefault(r["name"], []).append((r["part"], r["dtype"], r["data"]))
-        arrays = {k: np.frombuffer(b"".join(x[2] for x in sorted(v)), dtype=v[0][1]) for k, v in parts.items()}
+                with files.open_input_file(info.path) as f:
+                    for b in pq.ParquetFile(f).iter_batches(batch_size=1):
+                        r = b.to_pylist()[0]
+                        parts.setdefault(r["name"], []).append((r["part"], r["dtype"], r["data"]))
+        arrays = {}
+        for k in list(parts):
+            v = sorted(parts.pop(k))
+            arrays[k] = np.frombuffer(b"".join(x[2] for x in v), dtype=v[0][1])
+            del v
         if not arrays:  # a shard without texts
             arrays = build([]) | {"classes": np.zeros(0, np.int64)}
         _LOADED[path] = Searcher({k: v for k, v in arrays.items() if k != "classes"}), arrays["classes"]
@@ -143,6 +156,7 @@ def _load(path: str) -> tuple[Searcher, np.ndarray]:
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One partition is one shard."""
+    _LOADED.clear()
     texts, classes, shard = [], [], 0
     for b in batches:
         shard = b.column("shard")[0].as_py() if b.num_rows else shard
