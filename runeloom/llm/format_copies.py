@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runeloom.work import materialize
+
 
 def canonical(text: Column) -> Column:
     """Lower case, letters and digits only; null where nothing is left. Other characters are not folded."""
@@ -36,6 +38,6 @@ def copy_counts(df: DataFrame, no_col: str, text: Column) -> DataFrame:
 def copies_of_first(df: DataFrame, no_col: str, text: Column) -> DataFrame:
     """(first_no, copy_no) for each copy but the first. Only texts with copies go to the join's small side; a text that very many
     rows share is a skewed key of the join, which adaptive execution splits."""
-    rows = keyed(df, no_col, text)
+    rows = materialize(keyed(df, no_col, text), "keys")  # 40 bytes a row, so that texts are read and canonicalized once
     many = rows.groupBy("key", "check").agg(F.min("no").alias("first_no"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return rows.join(many, ["key", "check"]).where("no > first_no").select("first_no", F.col("no").alias("copy_no"))
