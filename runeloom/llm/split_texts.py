@@ -20,31 +20,34 @@ from pyspark.sql import functions as F
 from runeloom.llm.tokens import TOKENIZER, Tokenizer, broadcast_ranks, tokenizer
 from runeloom.work import spread
 
+_WHITE = np.frombuffer(b" \t\n\r\x0b\x0c", dtype=np.uint8)
 TOKEN, WORD, CLAUSE, SENTENCE, LINE, PARAGRAPH = range(6)
 #: What a boundary of each strength follows; the boundary is the end of the match. A sentence or clause ends before the space, which belongs to the next word's token.
+#: Words (before white space) and lines (after a line break) are told from the bytes.
 _BREAKS = (
-    (WORD, re.compile(r"\S(?=\s)")),
     (CLAUSE, re.compile(r"[,;:—–][\"'”’)\]]*(?=\s)")),
     (SENTENCE, re.compile(r"[.!?…。！？][\"'”’)\]]*(?=\s)")),
-    (LINE, re.compile(r"\n")),
     (PARAGRAPH, re.compile(r"\n[ \t\r]*\n\s*")),
 )
 
 
 def boundaries(text: str, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each boundary before token i (0 to the number of tokens): its strength, -1 where it cuts a character; and the last boundary at or before it that doesn't."""
-    raw = text.encode()
+    raw = np.frombuffer(b"\n" + text.encode() + b" ", dtype=np.uint8)
     n = len(ends)
     at = np.concatenate([[0], ends])
-    strength = np.full(n + 1, TOKEN, dtype=np.int8)
-    if len(raw) != len(text):
-        inside = (np.frombuffer(raw + b" ", dtype=np.uint8)[at] & 0xC0) == 0x80
-        strength[inside] = -1
+    behind, before = raw[at + 1], raw[at]
+    white = np.isin(before, _WHITE)
+    strength = np.where(np.isin(behind, _WHITE) & ~white, WORD, TOKEN).astype(np.int8)
+    if len(raw) - 2 != len(text):
+        strength[(behind & 0xC0) == 0x80] = -1
         chars = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
         offset = np.concatenate([[0], np.cumsum(1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF).astype(np.int64))])
     else:
         offset = None
     for level, pattern in _BREAKS:
+        if level == PARAGRAPH:
+            strength[1:][before[1:] == 10] = LINE
         found = np.fromiter((m.end() for m in pattern.finditer(text)), dtype=np.int64)
         found = found if offset is None else offset[found]
         i = np.searchsorted(at, found)
@@ -57,7 +60,6 @@ def boundaries(text: str, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def cut(strength: np.ndarray, whole: np.ndarray, capacity: int, overlap: int) -> list[tuple[int, int]]:
     """(first, end) of the tokens of every piece, in order, overlaps included."""
     n = len(strength) - 1
-    shared = lambda b: b - int(whole[max(b - overlap, 0)])  # noqa: E731  tokens that a piece beginning at b takes from before
     room = capacity - overlap - 3  # a character has up to 4 tokens
     edges = np.flatnonzero(strength >= SENTENCE)
     edges = np.unique(np.concatenate([[0], edges, [n]]))
@@ -67,16 +69,15 @@ def cut(strength: np.ndarray, whole: np.ndarray, capacity: int, overlap: int) ->
             break
         more = [np.flatnonzero(strength[edges[k] : edges[k + 1]] >= level) + edges[k] for k in long.tolist()]
         edges = np.unique(np.concatenate([edges, *more]))
+    # tokens that a piece which begins at a segment takes from before it
+    shared = (edges[:-1] - whole[np.maximum(edges[:-1] - overlap, 0)]).tolist()
     start = edges[:-1].tolist()
     end = edges[1:].tolist()
     m = len(start)
     right, left, alive = list(range(1, m + 1)), list(range(-1, m - 1)), [True] * m
     level = strength[edges].tolist()  # level[k]: the boundary before segment k
 
-    def fits(a: int, b: int) -> bool:
-        return end[b] - start[a] + (shared(start[a]) if start[a] else 0) <= capacity
-
-    heap = [(level[k], end[k] - start[k - 1], k) for k in range(1, m) if fits(k - 1, k)]
+    heap = [(level[k], end[k] - start[k - 1], k) for k in range(1, m) if end[k] - start[k - 1] + shared[k - 1] <= capacity]
     heapq.heapify(heap)
     while heap:
         lev, size, b = heapq.heappop(heap)
@@ -84,7 +85,7 @@ def cut(strength: np.ndarray, whole: np.ndarray, capacity: int, overlap: int) ->
             continue
         a = left[b]
         now = end[b] - start[a]
-        if not fits(a, b):
+        if now + shared[a] > capacity:
             continue
         if now != size:
             heapq.heappush(heap, (lev, now, b))
@@ -93,7 +94,7 @@ def cut(strength: np.ndarray, whole: np.ndarray, capacity: int, overlap: int) ->
         right[a] = c = right[b]
         if c < m:
             left[c] = a
-    return [(start[k] - shared(start[k]) if start[k] else 0, end[k]) for k in range(m) if alive[k]]
+    return [(start[k] - shared[k], end[k]) for k in range(m) if alive[k]]
 
 
 def pieces(text: str, ends: np.ndarray, capacity: int, overlap: int) -> Iterator[tuple[int, int, str]]:
