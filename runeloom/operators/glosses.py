@@ -27,23 +27,16 @@ def load_glosser(content: DataFrame, functions: DataFrame) -> Glosser:
     return Glosser.of([r.asDict() for r in c], [r.asDict() for r in f])
 
 
+#: What stands before a word, hyphens on their own included, and the word.
+_GAP_WORD = r"(?U)((?:[^\w\-]|-+(?=[^\w\-]|$))*)([\w\-]+)"
+
+
 def token_types(df: DataFrame, text_col: str) -> DataFrame:
-    """(token, first, n): distinct tokens of a text column, apart for those that begin a sentence."""
-    raw = F.regexp_extract_all(F.col(text_col), F.lit(r"(?U)[\w\-]+|[^\w\s]"), F.lit(0))
-    x = df.select(raw.alias("t")).select(F.posexplode("t").alias("i", "token"), "t").where(F.col("token").rlike(r"(?U)^\w"))
-    before = F.when(F.col("i") == 0, True).otherwise(_begins(F.col("t"), F.col("i")))
-    return x.select("token", before.alias("first")).groupBy("token", "first").agg(F.count(F.lit(1)).alias("n"))
-
-
-def _begins(t, i):
-    """A token begins a sentence if, going back over punctuation, a sentence end (or the text's beginning) comes before a word; three marks back are looked at, more never stand there."""
-    mark = lambda k: F.get(t, i - k)
-    ends = lambda k: mark(k).isin(".", "!", "?", '"', "“")
-    word = lambda k: mark(k).rlike(r"(?U)^[\w\-]")
-    out = F.lit(False)
-    for k in (4, 3, 2, 1):
-        out = F.when(i < k, True).when(word(k), False).when(ends(k), True).otherwise(out)
-    return out
+    """(token, first, n): distinct tokens of a text column, apart for those that begin a sentence: the first of a text, and those with a sentence end or an opening quote between them and the word before."""
+    part = lambda k: F.regexp_extract_all(F.col(text_col), F.lit(_GAP_WORD), F.lit(k))
+    x = df.select(F.posexplode(F.arrays_zip(part(1).alias("gap"), part(2).alias("token"))).alias("i", "x")).where(F.col("x.token").rlike(r"(?U)^\w"))
+    first = (F.col("i") == 0) | F.col("x.gap").rlike('[.!?"“]')
+    return x.select("x.token", first.alias("first")).groupBy("token", "first").agg(F.count(F.lit(1)).alias("n"))
 
 
 def analyze_types(types: DataFrame, content: DataFrame, functions: DataFrame) -> DataFrame:

@@ -35,11 +35,12 @@ def first_failure(unknown: Column, loans: Column, words: Column, max_loan_rate:
 def drop_reasons(df: DataFrame, text_col: str, order_col: str, unknown: Column, loans: Column, words: Column, max_loan_rate: float = 0.05, min_words: int = 20) -> DataFrame:
     """``df`` with the column ``reason``: why a record is dropped, null where it is kept. Only records that pass the other tests can be
     duplicates, of the first of them. Counts that are null pass their test; a null text has no duplicates."""
-    x = df.withColumn("reason", first_failure(unknown, loans, words, max_loan_rate, min_words))
-    first = x.where("reason is null").select(norm_key(F.col(text_col)).alias("k"), F.col(order_col).alias("o")).where("k is not null").groupBy("k").agg(F.min("o").alias("keep")).select("keep", F.lit(True).alias("is_first"))
-    x = x.join(first, F.col(order_col) == F.col("keep"), "left").drop("keep")
-    dup = F.col("reason").isNull() & F.col("is_first").isNull() & F.col(text_col).isNotNull()
-    return x.withColumn("reason", F.when(dup, "duplicate").otherwise(F.col("reason"))).drop("is_first")
+    # whether there is a text is told before the join, so that texts take part in its shuffle only where the caller wants them
+    x = df.withColumn("reason", first_failure(unknown, loans, words, max_loan_rate, min_words)).withColumn("__text", F.col(text_col).isNotNull())
+    first = x.where("reason is null").select(norm_key(F.col(text_col)).alias("k"), F.col(order_col).alias("o")).where("k is not null").groupBy("k").agg(F.min("o").alias("__keep")).select("__keep", F.lit(True).alias("__first"))
+    x = x.join(first, F.col(order_col) == F.col("__keep"), "left").drop("__keep")
+    dup = F.col("reason").isNull() & F.col("__first").isNull() & F.col("__text")
+    return x.withColumn("reason", F.when(dup, "duplicate").otherwise(F.col("reason"))).drop("__first", "__text")
 
 
 def pack(df: DataFrame, text_col: str, order_col: str, unknown: Column, loans: Column, words: Column, max_loan_rate: float = 0.05, min_words: int = 20, val_share: float = 0.05) -> DataFrame:

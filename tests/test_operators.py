@@ -324,6 +324,16 @@ def test_gloss_tables(spark):
     df = spark.createDataFrame([(1, "Ta gawi drashad."), (2, "the blueberry."), (3, None), (4, "")], "no bigint, kz string")
     got = {r.id: (r.word, r.unknown, r.ok) for r in glosses.validate_texts(df, "no", "kz", c, f).collect()}
     assert got == {1: (3, 0, True), 2: (0, 1, False), 3: (None, None, False), 4: (0, 0, True)}
+    g = glosses.load_glosser(c, f)
+    odd = 'One, two... (three) - four! -- Five "six" seven-eight. - nine ...... ten'
+    firsts, begins = [], True
+    for t in __import__("re").findall(r"[\w\-]+|[^\w\s]", odd):
+        if t[0].isalnum():
+            firsts.append((t, begins))
+            begins = False
+        else:
+            begins = begins or t in '.!?"“'
+    assert g is not None and {(r.token, r.first) for r in glosses.token_types(df.limit(1).select(F.lit(odd).alias("kz")), "kz").collect()} == set(firsts)
     a = glosses.analyze_types(glosses.token_types(df, "kz"), c, f)
     assert {(r.token, r.first) for r in a.collect()} == {("Ta", True), ("gawi", False), ("drashad", False), ("the", True), ("blueberry", False)}
     assert [r.token for r in glosses.unknown_words(a).collect()] == ["blueberry"]
