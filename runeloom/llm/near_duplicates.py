@@ -28,24 +28,30 @@ from runeloom.llm.words import shingles, slices, words
 from runeloom.operators.graph import components
 from runeloom.work import materialize, spread
 
-POSITIONS, PER_KEY = 192, 4
-KEYS = POSITIONS // PER_KEY
+#: Keys of a text, and positional bytes in each. Unrelated texts with the share j in common meet under a key with probability (j + 1/256)**4, so
+#: pairs to compare that aren't alike grow with the square of the texts, by 2 in a million here; beyond some ten million texts, 80 keys of 5 bytes keep them few.
+KEYS, PER_KEY = 48, 4
 #: Members of an index list up to which its pairs are made in one task.
 BLOCK = 512
 #: Texts hashed at a time: their values stay in the processor's cache.
 _SLICE = 1024
-_MULTIPLIERS = (np.random.default_rng(20240229).integers(0, 2**31, POSITIONS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 
 
-def signatures(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """One row of POSITIONS bytes for each text (none may be empty)."""
+def _multipliers(positions: int) -> np.ndarray:
+    """Odd numbers; multiplication by one is a permutation of 32-bit numbers."""
+    return (np.random.default_rng(20240229).integers(0, 2**31, positions, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
+
+
+def signatures(hashes: np.ndarray, offsets: np.ndarray, positions: int) -> np.ndarray:
+    """One row of bytes, one a position, for each text (none may be empty)."""
     x = (hashes >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(offsets) - 1, POSITIONS), dtype=np.uint8)
+    multipliers = _multipliers(positions)
+    out = np.empty((len(offsets) - 1, positions), dtype=np.uint8)
     for lo in range(0, len(out), _SLICE):
         hi = min(lo + _SLICE, len(out))
         part, starts = x[offsets[lo] : offsets[hi]], offsets[lo:hi] - offsets[lo]
         buf = np.empty_like(part)
-        for k, a in enumerate(_MULTIPLIERS):
+        for k, a in enumerate(multipliers):
             np.multiply(part, a, out=buf)
             low = np.minimum.reduceat(buf, starts)
             low *= np.uint32(0x9E3779B1)
@@ -53,7 +59,7 @@ def signatures(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _features(size: int, least_words: int, fields: int):
+def _features(size: int, least_words: int, fields: int, positions: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in slices(batches):
@@ -75,7 +81,7 @@ def _features(size: int, least_words: int, fields: int):
                         new.append(i)
                 sig: list[bytes | None] = [None] * len(keep)
                 if new:
-                    for i, s in zip(new, signatures(*shingles([split[i] for i in new], size))):
+                    for i, s in zip(new, signatures(*shingles([split[i] for i in new], size), positions)):
                         sig[i] = s.tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array(ids[keep], pa.int64()), pa.array(cls, pa.int64()), pa.array(sig, pa.binary())], names=["id", "cls", "sig"])
 
@@ -83,16 +89,23 @@ def _features(size: int, least_words: int, fields: int):
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, POSITIONS)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), -1)
 
 
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    base = np.arange(KEYS, dtype=np.int64) << 32
-    for b in batches:
-        if b.num_rows:
-            keys = _matrix(b.column("sig")).view("<u4").astype(np.int64) + base
-            cls = np.repeat(b.column("cls").to_numpy(), KEYS)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(cls)], names=["key", "cls"])
+def _postings(keys: int, per_key: int):
+    """A key is the number of its group of positions and their bytes (hashed where they would pass 48 bits)."""
+    base = np.arange(keys, dtype=np.int64) << 48
+    shift = (np.arange(per_key, dtype=np.int64) * 8) if per_key <= 6 else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                m = _matrix(b.column("sig")).reshape(b.num_rows, keys, per_key).astype(np.int64)
+                value = (m << shift).sum(axis=2) if shift is not None else (m * (np.int64(0x5851F42D4C957F2D) ** np.arange(1, per_key + 1, dtype=np.int64))).sum(axis=2) & np.int64(2**48 - 1)
+                cls = np.repeat(b.column("cls").to_numpy(), keys)
+                yield pa.RecordBatch.from_arrays([pa.array((value + base).ravel()), pa.array(cls)], names=["key", "cls"])
+
+    return run
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +159,7 @@ def _block_pairs(least: int):
     def run(pdf):
         import pandas as pd
 
-        sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint8).reshape(-1, POSITIONS)
+        sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint8).reshape(len(pdf), -1)
         cls, first = pdf["cls"].to_numpy(), (pdf["block"] == pdf["lo"]).to_numpy()
         one = pdf["lo"].iloc[0] == pdf["hi"].iloc[0]
         left = np.flatnonzero(first)
@@ -163,10 +176,10 @@ def _block_pairs(least: int):
     return run
 
 
-def least_bytes(threshold: tuple[int, int]) -> int:
+def least_bytes(threshold: tuple[int, int], positions: int) -> int:
     """The positional bytes that a pair at the threshold shares at least, but for one in 10**9: six deviations under the mean."""
     j = threshold[0] / threshold[1]
-    return max(0, int(POSITIONS * j - 6 * (POSITIONS * j * (1 - j)) ** 0.5))
+    return max(0, int(positions * j - 6 * (positions * j * (1 - j)) ** 0.5))
 
 
 def _hot_pairs(hot: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
@@ -178,21 +191,21 @@ def _hot_pairs(hot: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
     return m.groupBy("key", "lo", "hi").applyInPandas(_block_pairs(least), "a bigint, b bigint")
 
 
-def near_duplicate_pairs(df: DataFrame, id_col: str, fields: list[str], size: int = 5, least_words: int = 8, threshold: tuple[int, int] = (4, 5)) -> tuple[DataFrame, DataFrame]:
+def near_duplicate_pairs(df: DataFrame, id_col: str, fields: list[str], size: int = 5, least_words: int = 8, threshold: tuple[int, int] = (4, 5), keys: int = KEYS, per_key: int = PER_KEY) -> tuple[DataFrame, DataFrame]:
     """(links, members). Links: pairs (a, b) of record ids, one representative for each of two classes of copies, that are alike
     in one of ``fields``. Members: (id, rep) for every text of ``least_words`` words or more that has a copy, rep being the
     smallest id of its class. Nulls, blank and short texts match nothing; rows with a null id are left out; other columns are ignored."""
     n = len(fields)
     src = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), *[F.col(f).alias(f"t{i}") for i, f in enumerate(fields)])
-    feats = materialize(spread(src).mapInArrow(_features(size, least_words, n), "id bigint, cls bigint, sig binary"), "features")
+    feats = materialize(spread(src).mapInArrow(_features(size, least_words, n, keys * per_key), "id bigint, cls bigint, sig binary"), "features")
     firsts = feats.where("sig is not null")
-    posts = firsts.select("cls", "sig").mapInArrow(_postings, "key bigint, cls bigint").repartition("key").sortWithinPartitions("key", "cls")
+    posts = firsts.select("cls", "sig").mapInArrow(_postings(keys, per_key), "key bigint, cls bigint").repartition("key").sortWithinPartitions("key", "cls")
     found = materialize(posts.mapInArrow(_lists, "a bigint, b bigint, key bigint, block int"), "candidates")
-    pairs = found.where("b is not null").groupBy("a", "b").agg((F.count(F.lit(1)) * PER_KEY).alias("bytes"))
+    pairs = found.where("b is not null").groupBy("a", "b").agg((F.count(F.lit(1)) * per_key).alias("bytes"))
     hot = found.where("key is not null").select("a", "key", "block")
     if not hot.isEmpty():
         sigs = firsts.groupBy("cls").agg(F.first("sig").alias("sig"))
-        pairs = pairs.select("a", "b").unionByName(_hot_pairs(hot, sigs, least_bytes(threshold))).distinct()
+        pairs = pairs.select("a", "b").unionByName(_hot_pairs(hot, sigs, least_bytes(threshold, keys * per_key))).distinct()
     classes = feats.groupBy("cls").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(classes, "classes")
     key = lambda c: (F.col("rep") * n + F.pmod(F.col("cls"), F.lit(n))).alias(c)
@@ -204,8 +217,8 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, fields: list[str], size: in
     return links, members
 
 
-def near_duplicate_groups(df: DataFrame, id_col: str, fields: list[str], size: int = 5, least_words: int = 8, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
+def near_duplicate_groups(df: DataFrame, id_col: str, fields: list[str], size: int = 5, least_words: int = 8, threshold: tuple[int, int] = (4, 5), keys: int = KEYS, per_key: int = PER_KEY) -> DataFrame:
     """(group, id) for every record connected with another one; group is the smallest id, whose own row is included."""
-    links, members = near_duplicate_pairs(df, id_col, fields, size, least_words, threshold)
+    links, members = near_duplicate_pairs(df, id_col, fields, size, least_words, threshold, keys, per_key)
     edges = links.select("a", "b").unionByName(members.select(F.col("id").alias("a"), F.col("rep").alias("b")))
     return components(edges, "a", "b").select(F.col("root").alias("group"), F.col("node").alias("id"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runeloom.llm import oracles
 from runeloom.llm.format_copies import copies_of_first, copy_counts, json_field
 from runeloom.llm.leaks import leaks
 from runeloom.llm.near_duplicates import near_duplicate_groups
@@ -135,26 +136,5 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return it.select("item_id", "suite", "split", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("exact_docs", "docs", "most_words")])
 
 
-_CANON = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
-_P4 = f"""WITH t AS (SELECT 'parallel_records' AS table_name, ordinal AS no, {_CANON.format('en')} AS c FROM parallel_records
-UNION ALL SELECT 'shard_lines', line_no, {_CANON.format("(CASE WHEN json_valid(line) THEN line ->> '$.en' END)")} FROM shard_lines),
-g AS (SELECT *, min(no) OVER (PARTITION BY table_name, c) AS first_no FROM t WHERE c <> '')
-"""
-
-_P6 = """WITH w AS (SELECT ordinal, unnest(regexp_extract_all(lower(kz), '[\\p{L}\\p{N}]+')) AS term FROM parallel_records),
-k AS (SELECT 'kz' AS field_name, term, count(*) AS occurrences, count(DISTINCT ordinal) AS records FROM w GROUP BY term),
-e AS (SELECT DISTINCT 'loan_words' AS field_name, ordinal, unnest(map_entries(loan_words)) AS e FROM text_stats
-  UNION ALL SELECT DISTINCT 'unknown_words', ordinal, unnest(map_entries(unknown_words)) FROM text_stats),
-s AS (SELECT field_name, lower(trim(e.key)) AS term, sum(e.value)::BIGINT AS occurrences, count(DISTINCT ordinal) AS records FROM e GROUP BY ALL),
-n AS (SELECT 'kz' AS field_name, count(kz) AS total FROM parallel_records UNION ALL SELECT f, count(DISTINCT ordinal) FROM text_stats, (VALUES ('loan_words'), ('unknown_words')) v(f) GROUP BY f),
-r AS (SELECT field_name, term, occurrences, records, CASE WHEN records <= 2 THEN 'rare' WHEN records > 0.1 * total THEN 'common' END AS mark FROM (FROM k UNION ALL FROM s) JOIN n USING (field_name) WHERE term <> '')
-"""
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_sample": p1_sample, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_counts": p4_counts, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_terms": p6_terms, "p7_containers": p7_containers, "p7_room": p7_room, "p8_found": p8_found, "p8_report": p8_report, "p9_pieces": p9_pieces}
-ORACLES: dict[str, str] = {
-    "p1_sample": sample_sql("parallel_records", "ordinal, id, en", "id", "en", "ordinal", "delivery", PER_BLOCK),
-    "p4_found": _P4 + "SELECT table_name, first_no, no AS copy_no FROM g WHERE no > first_no",
-    "p4_counts": _P4 + "SELECT table_name, first_no, count(*) AS copies, false AS collided FROM g GROUP BY ALL",
-    "p6_found": _P6 + "SELECT field_name, term, mark FROM r WHERE mark IS NOT NULL",
-    "p6_terms": _P6 + "FROM r",
-}
+ORACLES: dict[str, str] = oracles.ORACLES | {"p1_sample": sample_sql("parallel_records", "ordinal, id, en", "id", "en", "ordinal", "delivery", PER_BLOCK)}

@@ -39,8 +39,11 @@ def block_sample(df: DataFrame, id_col: str, text_col: str, seq_col: str, order_
     first = F.min(F.struct(F.col(order_col).isNull().alias("n"), F.col(order_col).alias("o"), F.col(seq_col).alias("s")))
     units = df.where(F.col(seq_col).isNotNull()).groupBy(unit.alias("__unit")).agg(first.alias("f"))
     chosen = units.where(permuted(F.col("f.s"), seed, bits) < per_block).select("__unit")
-    rows = df.where(F.col(seq_col).isNotNull()).withColumn("__unit", unit)
-    return rows.join(chosen, "__unit", "left_semi").drop("__unit")
+    name = "__unit"
+    while name in df.columns:
+        name += "_"
+    rows = df.where(F.col(seq_col).isNotNull()).withColumn(name, unit)
+    return rows.join(chosen.withColumnRenamed("__unit", name), name, "left_semi").drop(name)
 
 
 def sample_sql(source: str, columns: str, id_col: str, text_col: str, seq_col: str, order_col: str, per_block: int, seed: int = 1, bits: int = BITS) -> str:

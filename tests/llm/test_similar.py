@@ -76,6 +76,9 @@ def test_groups_equal_brute_force(rows, records):
     want = {(find(x), x) for x in parent}
     got = near_duplicate_groups(rows(records, SCHEMA), "no", ["en", "kz"], 3, 8, (3, 5))
     assert {tuple(x) for x in got.collect()} == want
+    for keys, per_key in ((80, 5), (120, 7)):  # the latter keys are hashed
+        got = near_duplicate_groups(rows(records, SCHEMA), "no", ["en", "kz"], 3, 8, (3, 5), keys, per_key)
+        assert len({tuple(x) for x in got.collect()} ^ want) <= (0 if per_key == 5 else 0.1 * len(want))
 
 
 def test_no_rows_and_no_texts(rows):
@@ -156,3 +159,15 @@ def test_backward_search_finds_all_occurrences():
                         want.add((offset + i, d))
         offset += len(q)
     assert got == want and want
+
+
+def test_a_third_of_all_rows_are_copies(rows):
+    r = random.Random(9)
+    text = lambda: " ".join(r.choices([f"w{i}" for i in range(200)], k=40))
+    hot = text()
+    data = [(i, hot.upper() if i % 2 else hot, None, "train" if i % 5 else "val", None) for i in range(400)] + [(1000 + i, text(), None, "train", None) for i in range(800)] + [(5000, hot.replace(hot.split()[7], "other"), None, "test", None)]
+    df = rows(data, SCHEMA).repartition(6)
+    got = {(x.group, x.id) for x in near_duplicate_groups(df, "no", ["en", "kz"], 3, 8, (3, 5)).collect()}
+    assert got == {(0, i) for i in range(400)} | {(0, 5000)}
+    pairs = overlaps(df, "no", ["en"], F.col("split").isin("val", "test"), F.col("split") == "train", 3, 8, (3, 5))
+    assert pairs.count() == 320 * 81

@@ -28,7 +28,7 @@ def sample_rows(n, delivery=1, start=0):
     return [(start + i, f"id{(start + i) % 1500}", f"text {start + i}", delivery, "x") for i in range(n)]
 
 
-SAMPLE = "no bigint, id string, en string, delivery int, `__x` string"
+SAMPLE = "no bigint, id string, en string, delivery int, `__unit` string"
 
 
 def chosen(df, per_block=100):
