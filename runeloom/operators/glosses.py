@@ -19,12 +19,17 @@ MAX_ENTRIES = 200_000
 KINDS = ("word", "name", "number", "loan", "unknown")
 
 
-def load_glosser(content: DataFrame, functions: DataFrame) -> Glosser:
-    c = content.select("kz", "en", "origin").limit(MAX_ENTRIES + 1).collect()
-    f = functions.select("kz", "en", "cat").limit(MAX_ENTRIES + 1).collect()
-    if max(len(c), len(f)) > MAX_ENTRIES:
+def entries(df: DataFrame, *more: str) -> list[dict]:
+    """The rows (kz, en, and ``more``) of a lexicon table, in the order of the words; entries without a word or an English side are left out, nulls elsewhere are empty."""
+    e = df.select("kz", F.filter("en", lambda x: x.isNotNull()).alias("en"), *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in more])
+    rows = e.where(F.col("kz").isNotNull() & (F.col("kz") != "") & (F.size("en") > 0)).orderBy("kz", "en").limit(MAX_ENTRIES + 1).collect()
+    if len(rows) > MAX_ENTRIES:
         raise ValueError(f"a lexicon has at most {MAX_ENTRIES} entries")
-    return Glosser.of([r.asDict() for r in c], [r.asDict() for r in f])
+    return [r.asDict() for r in rows]
+
+
+def load_glosser(content: DataFrame, functions: DataFrame) -> Glosser:
+    return Glosser.of(entries(content, "origin"), entries(functions, "cat"))
 
 
 #: What stands before a word, hyphens on their own included, and the word.

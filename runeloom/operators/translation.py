@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from runeloom.functions.parsing import TOKEN_SCHEMA, Token
 from runeloom.functions.rewriting import Language, Stats, Translator
-from runeloom.operators.glosses import MAX_ENTRIES
+from runeloom.operators.glosses import entries
 from runeloom.work import spread
 
 RESULT = "kz string, words bigint, loans bigint, loan_rate double, unknown bigint, names bigint, loan_words map<string,bigint>, unknown_words map<string,bigint>"
@@ -18,10 +18,7 @@ RESULT = "kz string, words bigint, loans bigint, loan_rate double, unknown bigin
 
 def load_language(content: DataFrame, functions: DataFrame, phrases: dict[str, str] | None = None, alias: dict[tuple[str, str], tuple[str, str]] | None = None) -> Language:
     """The lexicon for the workers; it is a language's, so bounded, and its size is checked."""
-    c, f = (df.limit(MAX_ENTRIES + 1).collect() for df in (content.select("kz", "en").orderBy("kz"), functions.select("kz", "en", "cat")))
-    if max(len(c), len(f)) > MAX_ENTRIES:
-        raise ValueError(f"a lexicon has at most {MAX_ENTRIES} entries")
-    return Language([r.asDict() for r in c], [r.asDict() for r in f], phrases, alias)
+    return Language(entries(content), entries(functions, "cat"), phrases, alias)
 
 
 def _row(text: str | None, stats: Stats) -> tuple:
