@@ -39,7 +39,7 @@ _GAP_WORD = r"(?U)((?:[^\w\-]|-+(?=[^\w\-]|$))*)([\w\-]+)"
 def token_types(df: DataFrame, text_col: str) -> DataFrame:
     """(token, first, n): distinct tokens of a text column, apart for those that begin a sentence: the first of a text, and those with a sentence end or an opening quote between them and the word before."""
     part = lambda k: F.regexp_extract_all(F.col(text_col), F.lit(_GAP_WORD), F.lit(k))
-    x = df.select(F.posexplode(F.arrays_zip(part(1).alias("gap"), part(2).alias("token"))).alias("i", "x")).where(F.col("x.token").rlike(r"(?U)^\w"))
+    x = spread(df.select(text_col)).select(F.posexplode(F.arrays_zip(part(1).alias("gap"), part(2).alias("token"))).alias("i", "x")).where(F.col("x.token").rlike(r"(?U)^\w"))
     first = (F.col("i") == 0) | F.col("x.gap").rlike('[.!?"“]')
     return x.select("x.token", first.alias("first")).groupBy("token", "first").agg(F.count(F.lit(1)).alias("n"))
 
@@ -54,7 +54,9 @@ def analyze_types(types: DataFrame, content: DataFrame, functions: DataFrame) ->
             a = [g.analyze(t, bool(f)) for t, f in zip(p["token"], p["first"])]
             yield p.assign(root=[x.root for x in a], tags=["+".join(x.tags) for x in a], kind=[x.kind for x in a], gloss=[g.gloss(x) for x in a])
 
-    return types.mapInPandas(run, "token string, first boolean, n bigint, root string, tags string, kind string, gloss string")
+    # distinct tokens are few bytes but much work: as many tasks as the session's shuffles have, whatever their size
+    n = int(types.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return types.repartition(n, "token", "first").mapInPandas(run, "token string, first boolean, n bigint, root string, tags string, kind string, gloss string")
 
 
 def gloss_texts(df: DataFrame, text_col: str, content: DataFrame, functions: DataFrame, out: str = "gloss", width: int = 100) -> DataFrame:

@@ -44,14 +44,14 @@ def drop_reasons(df: DataFrame, text_col: str, order_col: str, unknown: Column,
 
 
 def pack(df: DataFrame, text_col: str, order_col: str, unknown: Column, loans: Column, words: Column, max_loan_rate: float = 0.05, min_words: int = 20, val_share: float = 0.05) -> DataFrame:
-    """The records that are kept, with the column ``pack_split`` (train or val)."""
-    kept = drop_reasons(df, text_col, order_col, unknown, loans, words, max_loan_rate, min_words).where("reason is null").drop("reason")
-    return kept.withColumn("pack_split", split_of(F.col(text_col), val_share))
+    """The records that are kept, with the column ``pack_split`` (train or val), which is told before the join: who counts only moves no texts."""
+    x = df.withColumn("pack_split", split_of(F.col(text_col), val_share))
+    return drop_reasons(x, text_col, order_col, unknown, loans, words, max_loan_rate, min_words).where("reason is null").drop("reason")
 
 
-def pack_counts(packed: DataFrame, target_col: str, loans: Column, words: Column) -> DataFrame:
-    """Per split: stories, words, characters of the target text, loans."""
-    return packed.groupBy("pack_split").agg(F.count(F.lit(1)).alias("stories"), F.sum(words).alias("words"), F.sum(F.length(target_col)).alias("chars"), F.sum(loans).alias("loans"))
+def pack_counts(packed: DataFrame, chars: Column, loans: Column, words: Column) -> DataFrame:
+    """Per split: stories, words, characters of the target text, loans. ``chars`` should be a column made before packing, see ``pack``."""
+    return packed.groupBy("pack_split").agg(F.count(F.lit(1)).alias("stories"), F.sum(words).alias("words"), F.sum(chars).alias("chars"), F.sum(loans).alias("loans"))
 
 
 def shard_stats(df: DataFrame, order_col: str, size: int, words: Column, loans: Column, unknown: Column) -> DataFrame:

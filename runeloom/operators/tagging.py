@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from runeloom.operators.lexicon import sense_index
 from runeloom.operators.vocabulary import COVERED_POS, function_index
+from runeloom.work import spread
 
 WORD = r"[\p{L}\p{N}]+"
 #: Endings taken off a word, in this order of preference, what replaces them, and how long the word must be at least.
@@ -18,7 +19,7 @@ ENDINGS = (("s", "", 4), ("es", "", 5), ("ies", "y", 5), ("ed", "", 5), ("ed", "
 
 def word_types(df: DataFrame, text_col: str, place_col: str) -> DataFrame:
     """(word, n, place): distinct words as written, how often, and the first place. Partial counts precede the only shuffle."""
-    w = df.select(F.col(place_col).alias("place"), F.explode(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))).alias("word"))
+    w = spread(df.select(text_col, place_col)).select(F.col(place_col).alias("place"), F.explode(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))).alias("word"))
     return w.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place"))
 
 

@@ -65,12 +65,12 @@ def report(spark: SparkSession, out: str) -> DataFrame:
 def run_pack(spark: SparkSession, src: str, out: str, o: Options, overwrite: bool = False) -> DataFrame:
     """Filter, dedupe and split the run's records; write Parquet of the target text, parallel lines, manifest and report. Returns the packed counts."""
     mode = "overwrite" if overwrite else "errorifexists"
-    rows = records.read_records(spark, f"{src}/shards")
+    rows = records.read_records(spark, f"{src}/shards").withColumn("chars", F.length("kz"))
     args = ("en", "ordinal", F.col("unknown"), F.col("loans"), F.col("words"), o.max_loan_rate, o.min_words)
     packed = packing.pack(rows, *args, o.val_share)
     records.write_parquet_shards(packed, f"{out}/kz", "kz", "pack_split", o.rows_per_file, mode)
     records.write_parallel(packed, f"{out}/parallel", "pack_split", mode)
-    counts = packing.pack_counts(packed, "kz", F.col("loans"), F.col("words"))
+    counts = packing.pack_counts(packed, F.col("chars"), F.col("loans"), F.col("words"))
     dropped = packing.drop_reasons(rows, *args).where("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("stories")).orderBy("reason")
     top = packed.select(F.explode("loan_words").alias("loan")).groupBy("loan").agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "loan")
     by = {r.pack_split: r.asDict() for r in counts.collect()}

@@ -12,7 +12,7 @@ from runeloom.functions import english, loan, morphology, text
 from runeloom.operators import glosses, lexicon, near, packing, phonotactics, tagging, translation, vocabulary, wordgen
 from runeloom.sources.records import parse_records
 from runeloom.tables import table
-from runeloom.work import materialize
+from runeloom.work import materialize, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,13 +54,13 @@ def modern_english(spark: SparkSession, d: str) -> DataFrame:
 @query
 def exact_dedupe_first(spark: SparkSession, d: str) -> DataFrame:
     """Documents whose normal form no earlier one has."""
-    return packing.dedupe(table(spark, d, "documents", "doc_id", "text"), "text", "doc_id").select("doc_id")
+    return packing.dedupe(spread(table(spark, d, "documents", "doc_id", "text")), "text", "doc_id").select("doc_id")
 
 
 @query
 def hash_split(spark: SparkSession, d: str) -> DataFrame:
     """The split that each document's normal form chooses."""
-    return table(spark, d, "documents", "doc_id", "text").where("text is not null").select("doc_id", text.split_of(F.col("text"), VAL_SHARE).alias("split"))
+    return spread(table(spark, d, "documents", "doc_id", "text")).where("text is not null").select("doc_id", text.split_of(F.col("text"), VAL_SHARE).alias("split"))
 
 
 # --- corpus -------------------------------------------------------------------
@@ -69,7 +69,7 @@ _COUNTS = (F.col, ("unknown_n", "loans", "words"))
 
 
 def _records(spark: SparkSession, d: str, *more: str) -> DataFrame:
-    return table(spark, d, "parallel_records", "ordinal", "en", "words", "loans", "unknown_n", *more)
+    return spread(table(spark, d, "parallel_records", "ordinal", "en", "words", "loans", "unknown_n", *more))
 
 
 @query
@@ -80,7 +80,7 @@ def drop_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
-    rows = _records(spark, d, "kz").where("en is not null and kz is not null")
+    rows = _records(spark, d, "kz").where("en is not null and kz is not null").withColumn("chars", F.length("kz"))
     return packing.pack(rows, "en", "ordinal", F.col("unknown_n"), F.col("loans"), F.col("words"), CAP, MIN_WORDS, VAL_SHARE)
 
 
@@ -93,7 +93,7 @@ def pack_records(spark: SparkSession, d: str) -> DataFrame:
 @query
 def pack_counts(spark: SparkSession, d: str) -> DataFrame:
     """Stories, words, characters and loans of each split."""
-    return packing.pack_counts(_packed(spark, d), "kz", F.col("loans"), F.col("words"))
+    return packing.pack_counts(_packed(spark, d), F.col("chars"), F.col("loans"), F.col("words"))
 
 
 @query
