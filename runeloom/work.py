@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,7 +18,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"{KEY} is unset: on a cluster it must name a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="runeloom-")
+        own = tempfile.mkdtemp(prefix="runeloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        path = "file://" + own
         spark.conf.set(KEY, path)
     return path.rstrip("/")
 
