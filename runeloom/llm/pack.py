@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runeloom.llm.tokens import TOKENIZER, broadcast_ranks, tokenizer
@@ -84,7 +84,10 @@ def containers(df: DataFrame, id_col: str, text_col: str, limits: list[tuple[str
     shards = -(-sizes.count() // SHARD) or 1
     lim = F.array(*[F.struct(F.lit(n).alias("limit_name"), F.lit(c).cast("bigint").alias("capacity")) for n, c in limits])
     x = sizes.select("id", "tokens", F.explode(lim).alias("l")).select("id", "tokens", "l.*").withColumn("whole", F.expr("tokens div capacity"))
-    own = x.where("whole > 0").select("limit_name", "capacity", "id", F.explode(F.expr("sequence(0, whole - 1)")).alias("piece"), F.monotonically_increasing_id().alias("row"))
+    # the containers that a text fills alone are named by its id, rows that repeat an id by their number too: names don't depend on where rows lie
+    nth = F.row_number().over(Window.partitionBy("id", "limit_name").orderBy("tokens"))
+    own = x.where("whole > 0").select("limit_name", "capacity", "id", "whole", nth.alias("row"))
+    own = own.select("limit_name", "capacity", "id", "row", F.explode(F.expr("sequence(0, whole - 1)")).alias("piece"))
     own = own.select("limit_name", "capacity", F.concat_ws("-", "limit_name", F.lit("f"), "id", "row", "piece").alias("container"), "id", F.col("piece").cast("int").alias("piece"), F.col("capacity").alias("tokens"))
     none = x.where("tokens = 0").select("limit_name", "capacity", F.lit(None).cast("string").alias("container"), "id", F.lit(0).alias("piece"), F.lit(0).cast("bigint").alias("tokens"))
     rest = x.withColumn("size", F.col("tokens") - F.col("whole") * F.col("capacity")).where("size > 0").select("limit_name", "capacity", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), "id", F.col("whole").cast("int").alias("piece"), "size")

@@ -155,6 +155,9 @@ def test_containers(rows):
         short = part[part["id"].map(want) <= cap]
         assert len(short) == short["id"].nunique() + (1 if want[0] <= cap else 0)  # never cut; id 0 has two rows
         assert set(part[part["container"].isna()]["id"]) == {900, 901}
+    again = containers(rows(data, "no bigint, text string, tokens int").repartition(9), "no", "text", [("s", 64), ("w", 1024)]).toPandas()
+    key = lambda d: sorted(map(tuple, d.fillna("").astype(str).to_numpy().tolist()))
+    assert key(got) == key(again)  # names too
     assert containers(rows([], "no bigint, text string"), "no", "text", [("s", 64)]).count() == 0
 
 
