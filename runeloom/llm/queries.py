@@ -119,13 +119,13 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_texts(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", _limits(spark, d)).withColumnRenamed("id", "doc_id")
 
 
-def _p8(spark: SparkSession, d: str) -> DataFrame:
-    return leaks(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", table(spark, d, "eval_items", "item_id", "text"), "item_id", "text")
+def _p8(spark: SparkSession, d: str, exact: bool = False) -> DataFrame:
+    return leaks(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", table(spark, d, "eval_items", "item_id", "text"), "item_id", "text", exact)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold an evaluation item: 12 of its words in a row, or all words of a shorter one."""
-    return _p8(spark, d).where("run >= need").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).distinct()
+    return _p8(spark, d, exact=True).where("run >= need").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).distinct()
 
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Sampling, forms, copies, terms, containers, leaks and pieces."""
 
 import collections
+import itertools
 import json
 import random
 import unicodedata
@@ -14,6 +15,7 @@ from runeloom.llm import leaks as leaks_module
 from runeloom.llm.format_copies import copies_of_first, copy_counts, json_field
 from runeloom.llm.leaks import leaks
 from runeloom.llm.pack import best_fit, containers
+from runeloom.llm.queries import p8_report
 from runeloom.llm.sample import block_sample, permuted
 from runeloom.llm.split_texts import LINE, PARAGRAPH, SENTENCE, boundaries, cut, split_texts
 from runeloom.llm.terms import map_terms, term_counts, text_terms, total_records
@@ -203,6 +205,60 @@ def test_substitutions_are_tolerated(rows):
     assert [(x.run < 12, x.span, x.equal) for x in got] == [(True, 24, 21)]
 
 
+def test_masks_meet_every_overlap():
+    for span in range(12, 24):  # longer ones have a half of at least 12 words with 3 of 4 equal
+        for other in itertools.combinations(range(span), span // 4):
+            assert any(not {s + m for m in mask} & {*other} for mask in leaks_module.MASKS for s in range(span - mask[-1])), (span, other)
+
+
+def best_overlap(equal):
+    """Longest run, and (span, equal) of the stretch of the best score, the earliest end and the longest of these."""
+    run = max((len(list(g)) for k, g in itertools.groupby(equal) if k), default=0)
+    stretches = [(3 * sum(equal[i:j]) - 2 * (j - i), -j, j - i, sum(equal[i:j])) for i in range(len(equal)) for j in range(i + 1, len(equal) + 1)]
+    score, _, span, n = max(stretches, default=(0, 0, 0, 0))
+    return run, *((span, n) if score > 0 else (0, 0))
+
+
+def test_runs_of_many_pairs(monkeypatch):
+    r = random.Random(11)
+    pairs = [[r.random() < p for _ in range(r.randint(1, 40))] for p in (0, 0.3, 0.6, 0.7, 0.8, 0.9, 1) for _ in range(30)]
+    r.shuffle(pairs)
+    starts = np.cumsum([0] + [len(x) for x in pairs[:-1]])
+    got = leaks_module._runs(np.array(sum(pairs, [])), starts)
+    want = [best_overlap(x) for x in pairs]
+    assert list(zip(*(x.tolist() for x in got))) == want
+    monkeypatch.setattr(leaks_module, "_CELLS", 50)
+    x, length = np.array(sum(pairs, [])), np.array([len(x) for x in pairs])
+    laid = list(leaks_module._laid(x, starts, np.ones(50, bool), np.zeros(len(pairs), np.int64), length))
+    assert len(laid) > 50 and [tuple(v) for v in np.concatenate(laid, axis=1).T.tolist()] == want
+
+
+def test_report_equals_brute_force(spark, tmp_path):
+    r = random.Random(8)
+    item = [f"i{k}" for k in range(12)]
+    items = [(0, " ".join(item)), *[(i, " ".join(f"x{i}_{k}" for k in range(r.choice([5, 11, 12, 16, 20, 40])))) for i in range(1, 30)]]
+    docs = [(0, " ".join("other" if k in (2, 5, 8) else w for k, w in enumerate(item)))]
+    for d in range(1, 150):
+        w = r.choice(items)[1].split()
+        share, k = r.choice([0.1, 0.2, 0.25, 0.3]), r.randrange(max(1, len(w) - 11))
+        docs.append((d, " ".join(["before"] * r.randint(0, 3) + [f"y{r.random()}" if r.random() < share else v for v in w[k : k + r.choice([12, 16, 40])]])))
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(*x, "s", "t") for x in items], "item_id bigint, text string, suite string, split string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    want = {}
+    for i, u in items:
+        y, n = words(u), [0, 0, 0]
+        for _, t in docs:
+            x = words(t)
+            laid = [[x[k] == y[k - s] for k in range(max(0, s), min(len(x), len(y) + s))] for s in range(1 - len(y), len(x))] if {*x} & {*y} else []
+            laid = [best_overlap(equal) for equal in laid if any(equal)]
+            exact = any(run >= min(12, len(y)) for run, _, _ in laid)
+            good = [e for run, span, e in laid if run >= min(12, len(y)) or (span >= 12 and e * 4 >= span * 3)]
+            n = [n[0] + exact, n[1] + bool(good), max([n[2], *good])]
+        want[i] = tuple(n)
+    got = {x.item_id: (x.exact_docs, x.docs, x.most_words) for x in p8_report(spark, str(tmp_path)).collect()}
+    assert got == want and any(docs > exact for exact, docs, _ in want.values())
+
+
 # --- pieces -------------------------------------------------------------------
 
 TEXTS = st.lists(st.sampled_from(["stone", "hall", ".", ", ", " ", "\n", "\n\n", "é", "日本語", "🙂", "a" * 40, " The", "!\" "]), min_size=1, max_size=200).map("".join)
