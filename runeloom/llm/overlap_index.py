@@ -4,9 +4,10 @@ The evaluation texts (distinct ones) are laid end to end as word numbers. Their
 CONTEXT words, give the Burrows-Wheeler transform, which is kept as the sorted rows of every word, and the place
 of every row. Training texts are streamed through it: from every STRIDE-th word (every word in short texts) a
 backward search runs over SEED words; hits on one diagonal are merged into spans and counted. A shared run of
-SEED + STRIDE - 1 words is always hit. Pairs whose spans cover enough are compared exactly.
+SEED + STRIDE - 1 words is always hit. Every pair with a hit is compared exactly, by its sets of word sequences:
+how much the spans cover says nothing of the sets where texts repeat themselves.
 
-A shard of the index holds up to SHARD_WORDS words (about 90 MB in a worker). More evaluation text makes more
+A shard of the index holds up to SHARD_WORDS words (about 120 MB in a worker). More evaluation text makes more
 shards, each of which the training texts pass in turn, in blocks. Shards are tables in the shared folder.
 """
 
@@ -29,8 +30,8 @@ CONTEXT, SEED, STRIDE = 8, 6, 3
 #: Texts of fewer words are searched from every word.
 SHORT = 20
 SHARD_WORDS = 8_000_000
-#: Part of a training text's words that the spans must cover before the exact comparison. A pair with 60 % of its three-word sequences in common has well over half.
-LEAST_COVER = 0.2
+#: Pairs with a hit that are compared at a time.
+_PAIRS = 4096
 _BITS = 27
 _PART = 4 << 20
 
@@ -97,6 +98,14 @@ class Searcher:
     def __init__(self, index: dict[str, np.ndarray]):
         self.__dict__.update(index)
         self.n1 = len(self.occ) + 1
+        self.text = np.empty(len(self.place), dtype=np.int32)  # rows are in the order of their first words
+        self.text[self.place] = np.repeat(np.arange(len(self.first) - 1, dtype=np.int32), np.diff(self.first))
+
+    def words_of(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words of some texts of the index, and the offsets at which texts begin."""
+        length = np.append(self.starts, len(self.text))[docs + 1] - self.starts[docs] - 1
+        offsets = np.concatenate([[0], np.cumsum(length)])
+        return self.vocabulary[self.text[np.arange(offsets[-1]) + np.repeat(self.starts[docs] - offsets[:-1], length)] - 1], offsets
 
     def hits(self, hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(position in the streamed words, text of the index, diagonal) for every occurrence of the searched seeds."""
@@ -125,6 +134,28 @@ class Searcher:
         return at, np.searchsorted(self.starts, place, side="right") - 1, place - at
 
 
+def _sets(hashes: np.ndarray, offsets: np.ndarray, size: int) -> list[set[int]]:
+    """The set of word sequences of every text."""
+    windows, offsets = window_hashes(hashes, tuple(range(size))).tolist(), offsets.tolist()
+    return [set(windows[i : max(i, j - size + 1)]) for i, j in zip(offsets, offsets[1:])]
+
+
+def _alike(searcher: Searcher, hashes: np.ndarray, offsets: np.ndarray, own: np.ndarray, doc: np.ndarray, size: int, threshold: tuple[int, int]) -> np.ndarray:
+    """Which of the pairs of a streamed text and a text of the index have ``threshold`` of their word sequences in common."""
+    num, den = threshold
+    out = np.zeros(len(own), bool)
+    for at in range(0, len(own), _PAIRS):
+        mine, a = np.unique(own[at : at + _PAIRS], return_inverse=True)
+        held, b = np.unique(doc[at : at + _PAIRS], return_inverse=True)
+        streamed = [_sets(hashes[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]), size)[0] for i in mine]
+        indexed = _sets(*searcher.words_of(held), size)
+        for k, (i, j) in enumerate(zip(a.tolist(), b.tolist()), at):
+            s, t = streamed[i], indexed[j]
+            both = len(s & t)
+            out[k] = both and both * den >= num * (len(s) + len(t) - both)
+    return out
+
+
 _LOADED: dict[str, tuple[Searcher, np.ndarray]] = {}
 
 
@@ -169,7 +200,7 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "name": [name], "dtype": [a.dtype.str], "part": pa.array([part], pa.int32()), "data": [raw[part * _PART : (part + 1) * _PART]]})
 
 
-def _stream(path: str, least_words: int, fields: int):
+def _stream(path: str, least_words: int, fields: int, size: int, threshold: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searcher, classes = _load(path)
         memo: dict[int, list[tuple[int, int, int]]] = {}
@@ -199,7 +230,7 @@ def _stream(path: str, least_words: int, fields: int):
                     cover = np.where(span, SEED, gap)
                     first = np.flatnonzero(pair)
                     covered, spans = np.add.reduceat(cover, first), np.add.reduceat(span.astype(np.int64), first)
-                    enough = covered >= LEAST_COVER * np.diff(offsets)[own[first]]
+                    enough = _alike(searcher, hashes, offsets, own[first], doc[first], size, threshold)
                     for o, d, n, s in zip(own[first[enough]].tolist(), classes[doc[first[enough]]].tolist(), covered[enough].tolist(), spans[enough].tolist()):
                         memo[names[o]].append((d, n, s))
                 rows += [(i * fields + f, c, d, n, s) for i, _, c in split for d, n, s in memo[c]]
@@ -229,7 +260,7 @@ def overlaps(df: DataFrame, id_col: str, fields: list[str], is_eval: Column, is_
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     path = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
     path = "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
-    found = [train.mapInArrow(_stream(f"{path}/shard={k}", least_words, n), "key bigint, cls bigint, other bigint, covered bigint, spans bigint") for k in range(shards if total else 0)]
+    found = [train.mapInArrow(_stream(f"{path}/shard={k}", least_words, n, size, threshold), "key bigint, cls bigint, other bigint, covered bigint, spans bigint") for k in range(shards if total else 0)]
     if not found:
         return spark.createDataFrame([], "train bigint, eval bigint, field int, covered bigint, spans bigint, shared int, either int")
     hits = materialize(reduce(DataFrame.unionByName, found), "hits")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from runeloom.llm import near_duplicates as nd
 from runeloom.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
 from runeloom.llm.overlap_index import Searcher, build, overlaps
+from runeloom.llm.queries import p5_found
 from runeloom.llm.words import word_hashes, words
 from runeloom.operators.graph import components
 
@@ -141,6 +142,26 @@ def test_shards(rows, records, monkeypatch):
     assert sorted(map(tuple, overlaps(*args).select("train", "eval", "field").collect())) == one
 
 
+def test_overlaps_of_texts_that_repeat_themselves(rows, spark, tmp_path):
+    story = " ".join(f"a{i}" for i in range(40))
+    long = " ".join(f"b{i}" for i in range(30))
+    data = [(1, story, None, "val", "x"), (2, story + " hey ho hi" * 60, None, "train", "x"), (3, story + " " + " ".join(f"c{i}" for i in range(180)), None, "train", "x")]
+    data += [(4, long, "la " * 500 + long, "test", "x"), (5, "la " * 900 + long, "na " * 900 + long, "train", "x"), (6, "b3 b4 b5 b6 b7 b8 " * 30, None, "train", "x")]
+    split = {r[0]: r[3] for r in data}
+    want = {(a, b) for a, b in brute_pairs(data) if (split[a] == "train") != (split[b] == "train")}
+    assert (1, 2) in want and (4, 5) in want and (1, 3) not in want
+    rows(data, SCHEMA).withColumnRenamed("no", "ordinal").write.parquet(f"{tmp_path}/parallel_records.parquet")
+    assert {(x.ordinal_a, x.ordinal_b) for x in p5_found(spark, str(tmp_path)).collect()} == want
+
+
+def test_words_of_indexed_texts():
+    r = random.Random(4)
+    texts = ["", *(" ".join(r.choices("abc", k=r.randint(1, 40))) for _ in range(30)), ""]
+    hashes, offsets = Searcher(build(texts)).words_of(np.array([0, 3, 3, 31, 30]))
+    want = word_hashes([words(texts[k]) for k in (0, 3, 3, 31, 30)])
+    assert hashes.tolist() == want[0].tolist() and offsets.tolist() == want[1].tolist()
+
+
 def test_backward_search_finds_all_occurrences():
     r = random.Random(3)
     texts = [" ".join(r.choices("abc", k=r.randint(1, 40))) for _ in range(50)]
