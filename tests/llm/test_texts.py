@@ -205,6 +205,16 @@ def test_substitutions_are_tolerated(rows):
     assert [(x.run < 12, x.span, x.equal) for x in got] == [(True, 24, 21)]
 
 
+def test_overlays_of_one_document_are_not_mixed(rows):
+    item = [f"t{k}" for k in range(15)]
+    good = [w if k not in (5, 9) else "a" for k, w in enumerate(item[:13])]  # 11 of 13 equal
+    long = [w if k not in (3, 6, 9, 12) else "b" for k, w in enumerate(item)]  # 11 of 15: not 3 of 4
+    for parts in ((good, long), (long, good)):
+        text = " ".join([*parts[0], *["z"] * 20, *parts[1]])
+        got = leaks(rows([(1, text)], "id bigint, text string"), "id", "text", rows([(1, " ".join(item))], "item bigint, text string"), "item", "text").collect()
+        assert [(x.span, x.equal) for x in got] == [(13, 11)]
+
+
 def test_masks_meet_every_overlap():
     for span in range(12, 24):  # longer ones have a half of at least 12 words with 3 of 4 equal
         for other in itertools.combinations(range(span), span // 4):
