@@ -28,7 +28,10 @@ LOOK_ALIKE = {
 }
 #: Compatibility decompositions that only change the width, the style of the letter or undo a ligature of letters.
 KINDS = ("<wide>", "<narrow>", "<font>")
-LIGATURES = range(0xFB00, 0xFB07)
+LIGATURES = frozenset(
+    c for c in range(0x80, 0x10000)
+    if "LIGATURE" in unicodedata.name(chr(c), "") and unicodedata.decomposition(chr(c)).startswith("<compat>") and unicodedata.normalize("NFKD", chr(c)).isalpha()
+)
 #: Every space character of a line; tabs and line breaks stay.
 SPACES = frozenset(chr(c) for c in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000))
 #: Format characters that aren't drawn.

@@ -90,6 +90,12 @@ def test_form_is_normal_and_stable(spark, texts):
     assert once == twice and all(unicodedata.is_normalized("NFC", t) for t in once.values())
 
 
+def test_every_ligature_of_letters_is_undone(rows):
+    data = [(1, "Ĳsland and ĳs, ﬁre", None), (2, "IJsland and ijs, fire", None), (3, "և", None), (4, "եւ", None), (5, "Ĳ", None), (6, "ij", None)]
+    got = alike_pairs(rows(data, "no bigint, en string, x string"), "no", "en").select("a", "b").collect()
+    assert {tuple(x) for x in got} == {(1, 2), (3, 4)}
+
+
 # --- copies -------------------------------------------------------------------
 
 
