@@ -103,16 +103,41 @@ def test_long_lists_are_compared_block_by_block(rows, monkeypatch):
     assert {(min(x.a, x.b), max(x.a, x.b)) for x in links.collect()} == {(i, j) for i in range(30) for j in range(i + 1, 30)}
 
 
+@pytest.mark.parametrize("block", [2, 5, 20])
+def test_groups_don_t_depend_on_blocks(rows, records, monkeypatch, block):
+    want = {tuple(x) for x in near_duplicate_groups(rows(records, SCHEMA), "no", ["en", "kz"], 3, 8, (3, 5)).collect()}
+    monkeypatch.setattr(nd, "BLOCK", block)
+    assert {tuple(x) for x in near_duplicate_groups(rows(records, SCHEMA).repartition(5), "no", ["en", "kz"], 3, 8, (3, 5)).collect()} == want
+
+
+def test_parts_of_long_lists_that_only_far_members_join(rows, monkeypatch):
+    # each text is alike with its neighbours only, so the list's first text connects few
+    monkeypatch.setattr(nd, "BLOCK", 3)
+    data = [(i, " ".join(f"a{k}" for k in range(6 * i, 6 * i + 60)), None, None, None) for i in range(25)]
+    got = {(x.group, x.id) for x in near_duplicate_groups(rows(data, SCHEMA), "no", ["en"], 3, 8, (3, 5)).collect()}
+    assert got == {(0, i) for i in range(25)}
+
+
 def test_lists_across_batches(monkeypatch):
     monkeypatch.setattr(nd, "BLOCK", 3)
-    key = np.array([1, 1, 1, 2, 2, 3, 3, 3, 3, 3, 3, 4, 5, 5], dtype=np.int64)
-    cls = np.array([1, 2, 2, 1, 3, 1, 2, 3, 4, 5, 6, 1, 7, 9], dtype=np.int64)
-    for size in (1, 2, 3, 14):
-        batches = (pa.RecordBatch.from_arrays([pa.array(key[i : i + size]), pa.array(cls[i : i + size])], names=["key", "cls"]) for i in range(0, 14, size))
+    key = np.array([0, 1, 1, 1, 2, 2, 3, 3, 3, 3, 3, 3, 4, 5, 5, 6, 6], dtype=np.int64)
+    cls = np.array([8, 1, 2, 2, 1, 3, 1, 2, 3, 4, 5, 6, 1, 7, 9, 1, 2], dtype=np.int64)
+    for size in (1, 2, 3, 17):
+        batches = (pa.RecordBatch.from_arrays([pa.array(key[i : i + size]), pa.array(cls[i : i + size])], names=["key", "cls"]) for i in range(0, 17, size))
         out = [r for b in nd._lists(batches) for r in b.to_pylist()]
         assert {(r["a"], r["b"]) for r in out if r["b"] is not None} == {(1, 2), (1, 3), (7, 9)}
-        hot = [r for r in out if r["key"] is not None]
-        assert [r["a"] for r in hot] == [1, 2, 3, 4, 5, 6] and [r["block"] for r in hot] == [0, 0, 0, 1, 1, 1]
+        assert {(r["key"], r["a"]) for r in out if r["key"] is not None} == {(0, 8), *((3, c) for c in range(1, 7)), (6, 1), (6, 2)}
+
+
+def test_likeness_guarantees_the_tally():
+    r = np.random.default_rng(1)
+    least = nd.least_bytes((3, 5), nd.TALLY)
+    seen = []
+    for _ in range(300):
+        common, a, b = (r.integers(0, 2**63, n, dtype=np.uint64) for n in (60, 20, 20))
+        s = nd.signatures(np.concatenate([common, a, common, b]), np.array([0, 80, 160]), nd.TALLY)
+        seen.append(int((s[0] == s[1]).sum()))
+    assert min(seen) >= least > 0.25 * nd.TALLY and 0.55 * nd.TALLY < np.mean(seen) < 0.65 * nd.TALLY
 
 
 def test_components(spark):
