@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from runeloom.llm import near_duplicates as nd
 from runeloom.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
-from runeloom.llm.overlap_index import Searcher, build, overlaps
+from runeloom.llm.overlap_index import Searcher, build, merged, overlaps
 from runeloom.llm.queries import p5_found
 from runeloom.llm.words import word_hashes, words
 from runeloom.operators.graph import components
@@ -163,10 +163,39 @@ def test_shards(rows, records, monkeypatch):
     df = rows(records, SCHEMA)
     args = (df, "no", ["en", "kz"], F.col("split").isin("val", "test"), F.col("split") == "train", 3, 8, (3, 5))
     one = sorted(map(tuple, overlaps(*args).select("train", "eval", "field").collect()))
-    monkeypatch.setattr(oi, "SHARD_WORDS", 3000)
+    monkeypatch.setattr(oi, "SHARD_WORDS", 1500)
     assert sorted(map(tuple, overlaps(*args).select("train", "eval", "field").collect())) == one
 
 
+def test_maximal_matches_and_spans():
+    r = random.Random(8)
+    held = [" ".join(r.choices("abcdef", k=r.randint(1, 60))) for _ in range(20)]
+    streamed = [" ".join(held[r.randrange(20)].split()[3:40] + r.choices("abcx", k=5) + held[r.randrange(20)].split()[:30]) for _ in range(20)]
+    hashes, offsets = word_hashes([words(t) for t in streamed])
+    got = Searcher(build(held)).matches(hashes, offsets)
+    want, cover = set(), {}
+    for i, t in enumerate(streamed):
+        x = words(t)
+        for j, u in enumerate(held):
+            y = words(u)
+            for shift in range(-len(x), len(y)):
+                k = max(0, -shift)
+                while k < min(len(x), len(y) - shift):
+                    e = k
+                    while e < min(len(x), len(y) - shift) and x[e] == y[e + shift]:
+                        e += 1
+                    if e - k >= 8:
+                        want.add((i, j, int(offsets[i]) + k, int(offsets[i]) + e))
+                    k = e + 1
+    found = set(zip(*(a.tolist() for a in got)))
+    assert want <= found and want and all(hi - lo >= 6 for _, _, lo, hi in found)
+    for i, j, lo, hi in found:
+        cover.setdefault((i, j), set()).update(range(lo, hi))
+    own, doc, covered, spans = merged(*got)
+    assert {(i, j): n for i, j, n in zip(own.tolist(), doc.tolist(), covered.tolist())} == {k: len(v) for k, v in cover.items()}
+    assert {(i, j): n for i, j, n in zip(own.tolist(), doc.tolist(), spans.tolist())} == {k: sum(x - 1 not in v for x in v) for k, v in cover.items()}
+
+
 def test_overlaps_of_texts_that_repeat_themselves(rows, spark, tmp_path):
     story = " ".join(f"a{i}" for i in range(40))
     long = " ".join(f"b{i}" for i in range(30))
