@@ -12,7 +12,7 @@ from runeloom.llm.format_copies import copies_of_first, copy_counts, json_field
 from runeloom.llm.leaks import leaks
 from runeloom.llm.near_duplicates import near_duplicate_groups
 from runeloom.llm.overlap_index import overlaps
-from runeloom.llm.pack import containers
+from runeloom.llm.pack import COST_SHARE, MAX_DOCS, containers
 from runeloom.llm.sample import block_sample, sample_sql
 from runeloom.llm.split_texts import split_texts
 from runeloom.llm.terms import map_terms, term_counts, text_terms, total_records
@@ -108,10 +108,25 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_room(spark: SparkSession, d: str) -> DataFrame:
-    """Containers of each capacity, the tokens in them and the share of room that stays unused."""
+    """Containers of each capacity, the tokens in them and the shares of room for tokens, documents and attention cost that stay unused."""
+    t = F.col("tokens")
     x = p7_containers(spark, d).where("container is not null").groupBy("limit_name", "capacity")
-    x = x.agg(F.count_distinct("container").alias("containers"), F.sum("tokens").alias("tokens"))
-    return x.withColumn("unused", 1 - F.col("tokens") / (F.col("containers") * F.col("capacity")))
+    x = x.agg(F.count_distinct("container").alias("containers"), F.sum(t).alias("tokens"), F.count(F.lit(1)).alias("items"), F.sum(t * t).alias("cost"))
+    free = lambda used, most: 1 - F.col(used) / (F.col("containers") * most)
+    return x.select("limit_name", "capacity", "containers", "tokens", free("tokens", F.col("capacity")).alias("unused"), free("items", F.lit(MAX_DOCS)).alias("documents_unused"), free("cost", COST_SHARE * F.col("capacity") * F.col("capacity")).alias("cost_unused"))
+
+
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """For each capacity, the documents that are assigned and how often a rule of the packing is broken (SQL expects all documents and no breach)."""
+    x = p7_containers(spark, d)
+    t = F.col("tokens")
+    one = x.where("container is not null").groupBy("limit_name", "container").agg(F.sum(t).alias("tokens"), F.count(F.lit(1)).alias("items"), F.sum(t * t).alias("cost"), F.first("capacity").alias("capacity"))
+    full = F.col("capacity") * F.col("capacity") * COST_SHARE
+    held = one.groupBy("limit_name").agg(F.count_if(F.col("tokens") > F.col("capacity")).alias("over_tokens"), F.count_if(F.col("items") > MAX_DOCS).alias("over_documents"), F.count_if((F.col("items") > 1) & (F.col("cost") > full + 0.5)).alias("over_cost"))
+    doc = x.groupBy("limit_name", "capacity", "doc_id").agg(F.sum(t).alias("tokens"), F.count(F.lit(1)).alias("items"), F.count_if((t > 0) & (t < F.col("capacity"))).alias("parts"), F.count_if(F.col("container").isNull()).alias("none"))
+    doc = doc.groupBy("limit_name", "capacity").agg(F.count(F.lit(1)).alias("documents"), F.sum("none").alias("without_tokens"), F.count_if((F.col("parts") > 1) | (F.col("items") > F.ceil(F.col("tokens") / F.col("capacity")) + F.col("none"))).alias("cut_needlessly"))
+    out = doc.join(held, "limit_name", "left")
+    return out.select("limit_name", "capacity", "documents", "without_tokens", "cut_needlessly", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("over_tokens", "over_documents", "over_cost")])
 
 
 def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -136,5 +151,5 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return it.select("item_id", "suite", "split", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("exact_docs", "docs", "most_words")])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_sample": p1_sample, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_counts": p4_counts, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_terms": p6_terms, "p7_containers": p7_containers, "p7_room": p7_room, "p8_found": p8_found, "p8_report": p8_report, "p9_pieces": p9_pieces}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_sample": p1_sample, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_counts": p4_counts, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_terms": p6_terms, "p7_containers": p7_containers, "p7_room": p7_room, "p7_checks": p7_checks, "p8_found": p8_found, "p8_report": p8_report, "p9_pieces": p9_pieces}
 ORACLES: dict[str, str] = oracles.ORACLES | {"p1_sample": sample_sql("parallel_records", "ordinal, id, en", "id", "en", "ordinal", "delivery", PER_BLOCK)}

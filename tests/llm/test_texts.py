@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from runeloom.llm import leaks as leaks_module
 from runeloom.llm.format_copies import copies_of_first, copy_counts, json_field
 from runeloom.llm.leaks import leaks
-from runeloom.llm.pack import best_fit, containers
+from runeloom.llm.pack import MAX_DOCS, best_fit, containers
 from runeloom.llm.queries import p8_report
 from runeloom.llm.sample import block_sample, permuted
 from runeloom.llm.split_texts import LINE, PARAGRAPH, SENTENCE, boundaries, cut, split_texts
@@ -49,7 +49,7 @@ def test_sample_is_stable_and_keeps_ids_whole(rows):
 
 
 def test_every_block_has_its_number_of_positions(spark):
-    n = spark.range(4 * 1024).where(permuted(spark.range(1).id * 0 + 0, 1) >= 0 if False else "true")
+    n = spark.range(4 * 1024)
     got = n.select((n.id / 1024).cast("int").alias("block"), permuted(n.id, 1).alias("p"))
     for block, ps in got.groupBy("block").agg({"p": "collect_list"}).collect():
         assert sorted(ps) == list(range(1024)), block
@@ -148,6 +148,18 @@ def test_best_fit_keeps_every_capacity(sizes, docs):
     assert len(sizes) == 0 or docs < 30 or len(set(where.tolist())) <= 2 * sizes.sum() / 100 + 1
 
 
+def test_each_capacity_binds():
+    sizes = np.array([98] * 3 + [60] * 3 + [30] * 6 + [2] * 80, dtype=np.int64)
+    packed = {k: tuple(best_fit(sizes, 100, docs, cost)) for k, docs, cost in (("tokens", 100, 10_000), ("documents", 6, 10_000), ("cost", 100, 3700), ("default", MAX_DOCS, None))}
+    assert len(set(packed.values())) == 4
+    w = np.array(packed["cost"])
+    cost, items = np.bincount(w, weights=sizes * sizes), np.bincount(w)
+    assert cost[items > 1].max() <= 3700 and items[w[:3]].tolist() == [1, 1, 1]  # 98 * 98 is more than a container's cost, so these are alone
+    assert np.bincount(packed["documents"]).max() == 6 and np.bincount(packed["tokens"], weights=sizes).max() <= 100
+    w = np.array(packed["default"])
+    assert np.bincount(w)[w[:3]].tolist() == [1, 1, 1] and np.bincount(w).max() <= MAX_DOCS  # 98 + 2 tokens would fit, 0.95 of the cost doesn't
+
+
 def test_containers(rows):
     r = random.Random(2)
     data = [(i, " ".join(r.choices(["stone", "the hall,", "é"], k=r.choice([1, 5, 60, 700]))), 1) for i in range(300)] + [(900, None, 1), (901, "", 1), (None, "x", 1), (0, "again", 1)]
