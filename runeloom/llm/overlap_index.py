@@ -27,9 +27,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runeloom.llm.shards import load, write_shards
 from runeloom.llm.verify import asked_only, long_texts
 from runeloom.llm.words import slices, whole_windows, window_hashes, word_hashes, words
-from runeloom.work import materialize, new_path, spread
+from runeloom.work import materialize, spread
 
 CONTEXT, SEED, STRIDE = 8, 6, 3
 #: Texts of fewer words are searched from every word.
@@ -44,7 +45,6 @@ RATIO, SIZES = 1.2, 56
 _PAIRS = 4096
 #: Bits of a seed's hash that the join compares; a chance meeting only sends a text to a shard in vain.
 _SEED_BITS = 44
-_PART = 4 << 20
 
 
 def class_of(split: list[str], field: int, fields: int) -> int:
@@ -301,48 +301,15 @@ def _common(searcher: Searcher, hashes: np.ndarray, offsets: np.ndarray, own: np
     return out
 
 
-_LOADED: dict[str, tuple[Searcher, np.ndarray]] = {}
-
-
-def _load(path: str) -> tuple[Searcher, np.ndarray]:
-    """The shard at ``path`` in the shared folder; a worker keeps one."""
-    if path not in _LOADED:
-        import pyarrow.parquet as pq
-        from pyarrow import fs
-
-        _LOADED.clear()
-        files, root = fs.FileSystem.from_uri(path)
-        parts: dict[str, list[tuple[int, str, bytes]]] = {}
-        for info in files.get_file_info(fs.FileSelector(root, allow_not_found=True)):
-            if info.base_name.endswith(".parquet"):
-                with files.open_input_file(info.path) as f:
-                    for b in pq.ParquetFile(f).iter_batches(batch_size=1):
-                        r = b.to_pylist()[0]
-                        parts.setdefault(r["name"], []).append((r["part"], r["dtype"], r["data"]))
-        arrays = {}
-        for k in list(parts):
-            v = sorted(parts.pop(k))
-            arrays[k] = np.frombuffer(b"".join(x[2] for x in v), dtype=v[0][1])
-            del v
-        if not arrays:  # a shard without texts
-            arrays = build([]) | {"classes": np.zeros(0, np.int64)}
-        _LOADED[path] = Searcher({k: v for k, v in arrays.items() if k != "classes"}), arrays["classes"]
-    return _LOADED[path]
-
-
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One partition is one shard."""
-    _LOADED.clear()
-    texts, classes, shard = [], [], 0
-    for b in batches:
-        shard = b.column("shard")[0].as_py() if b.num_rows else shard
-        texts += b.column("text").to_pylist()
-        classes += b.column("cls").to_pylist()
-    if texts:
-        for name, a in (build(texts) | {"classes": np.array(classes, dtype=np.int64)}).items():
-            raw = a.tobytes()
-            for part in range(-(-len(raw) // _PART)):
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "name": [name], "dtype": [a.dtype.str], "part": pa.array([part], pa.int32()), "data": [raw[part * _PART : (part + 1) * _PART]]})
+def _build(rows: list[dict]) -> dict[str, np.ndarray]:
+    classes = np.array([r["cls"] for r in rows], dtype=np.int64)
+    texts = [r["text"] for r in rows]
+    rows.clear()
+    return build(texts) | {"classes": classes}
+
+
+def _searcher(arrays: dict[str, np.ndarray]) -> tuple[Searcher, np.ndarray]:
+    return Searcher({k: v for k, v in arrays.items() if k != "classes"}), arrays["classes"]
 
 
 _PAIR = "cls bigint, other bigint, covered bigint, spans bigint, shared bigint, either bigint"
@@ -356,7 +323,7 @@ def _stream(path: str, fields: int, size: int, threshold: tuple[int, int]):
         for b in slices(batches):
             shards = b.column("shard").to_numpy()
             for k in np.unique(shards).tolist():
-                searcher, classes = _load(f"{path}/shard={k}")
+                searcher, classes = load(path, k, _searcher)
                 rows = b.take(pa.array(np.flatnonzero(shards == k)))
                 split = [words(t) for t in rows.column("text").to_pylist()]
                 mine = [class_of(w, key % fields, fields) for key, w in zip(rows.column("key").to_pylist(), split)]
@@ -420,12 +387,7 @@ def overlap_classes(df: DataFrame, id_col: str, fields: list[str], is_eval: Colu
     shard = (first + F.pmod(F.xxhash64("cls"), parts)).cast("int")
     chosen = materialize(classes.withColumn("shard", shard).join(long_texts(held, "id", names), "key").select("shard", "cls", "size", "text"), "chosen")
 
-    path = new_path(spark, "index")
-    chosen.select("shard", "cls", "text").repartitionById(shards, F.col("shard")).mapInArrow(_build, "shard int, name string, dtype string, part int, data binary").write.option("compression", "zstd").partitionBy("shard").parquet(path)
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    path = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
-    path = "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
-
+    path = write_shards(chosen.select("shard", "cls", "text"), shards, _build, "index")
     held_seeds = chosen.select("shard", "size", "text").mapInArrow(_held_seeds, "seed bigint, shard int, sizes bigint").groupBy("seed", "shard").agg(F.bit_or("sizes").alias("sizes"))
     reach = math.ceil(math.log(threshold[1] / threshold[0]) / math.log(RATIO))
     fitting = F.expr(f"shiftleft(1L, least(size + {reach}, {SIZES - 1}) + 1) - shiftleft(1L, greatest(size - {reach}, 0))")
