@@ -13,7 +13,8 @@ from runeloom.functions.rewriting import Translator
 from runeloom.operators import glosses, lexicon, phonotactics, review, tagging, translation, vocabulary, wordgen
 from runeloom.plans import corpus, reports
 from runeloom.session import session
-from runeloom.sources import texts
+from runeloom.sources import decisions, texts
+from runeloom.work import materialize
 
 
 def _text(a: argparse.Namespace) -> str:
@@ -25,7 +26,13 @@ def _tables(spark: SparkSession, a: argparse.Namespace):
 
 
 def _language(spark, a):
-    return translation.load_language(*_tables(spark, a))
+    phrases = decisions.read_phrases(a.phrases) if a.phrases else None
+    alias = decisions.read_corrections(a.corrections)[0] if a.corrections else None
+    return translation.load_language(*_tables(spark, a), phrases, alias)
+
+
+def _frequencies(a: argparse.Namespace) -> dict[str, float]:
+    return decisions.read_frequencies(a.english) if a.english else {}
 
 
 def _options(a: argparse.Namespace) -> corpus.Options:
@@ -85,18 +92,20 @@ def _generator(spark, a):
     blended: dict[str, dict[str, float]] = {}
     for r in counts.where(F.col("kind").isin("initial", "final", "medial", "syllables")).orderBy("kind", "key").collect():
         blended.setdefault(r.kind, {})[r.key] = r.p
-    score = wordgen.TrigramScore({(r.a, r.b, r.c): r.n for r in phonotactics.trigrams(words).collect()})
-    return wordgen.Sampler(blended, a.seed), score, wordgen.Filters(existing=frozenset(r.word for r in words.collect()))
+    model = {k: materialize(t, "model") for k, t in phonotactics.trigram_model(phonotactics.trigrams(words)).items()}
+    common = frozenset(w for w, z in _frequencies(a).items() if z >= a.common)
+    parts = tuple(sorted(decisions.read_words(a.profane))) if a.profane else ()
+    return wordgen.Style(blended, a.seed), model, wordgen.WordLists(existing=frozenset(r.word for r in words.collect()), english=common, profane_parts=parts)
 
 
 def cmd_wordgen(spark, a) -> int:
-    sampler, score, filters = _generator(spark, a)
+    style, model, lists = _generator(spark, a)
     if a.score:
-        ref = wordgen.reference_scores(sampler, score)
-        for r in wordgen.score_words(spark.createDataFrame([(w,) for w in a.score], "word string"), score, ref, filters).orderBy("word").collect():
+        ref = wordgen.reference_scores(spark, style, model)
+        for r in wordgen.score_words(spark.createDataFrame([(w,) for w in a.score], "word string"), model, ref, lists).orderBy("word").collect():
             print(f"{r.word}: {r.percentile:.0f} {r.reject or 'ok'} {' '.join(r.flags)}")
         return 0
-    for w, p in wordgen.generate_roots(spark, sampler, score, filters, a.n, a.syllables, a.least, a.clean):
+    for w, p in wordgen.generate_roots(spark, style, model, lists, a.n, a.syllables, a.least, a.clean):
         print(f"{w} {p:.0f}")
     return 0
 
@@ -145,7 +154,7 @@ def cmd_review(spark, a) -> int:
     covered = lexicon.sense_index(content)
     if a.action == "propose":
         taken = [(r.kz, r.pos) for r in covered.select("kz", "pos").distinct().collect()] + [(r.kz, "") for r in functions.select("kz").collect()]
-        texts.write_review(review.propose(spark, texts.read_worklist(spark, a.input), covered, taken, *_generator(spark, a), review.Seeds(), a.n, a.seed), a.out)
+        texts.write_review(review.propose(spark, texts.read_worklist(spark, a.input), covered, taken, *_generator(spark, a), decisions.read_seeds(a.seeds) if a.seeds else review.Seeds(), a.n, a.seed), a.out)
         return 0
     new, found = review.apply_review(content, functions, texts.read_review(spark, a.input), covered)
     errors = found.where("severity = 'error'").collect()
@@ -159,6 +168,9 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="runeloom", description=__doc__)
     p.add_argument("--lexicon", default="lexicon.parquet")
     p.add_argument("--functions", default="function_words.parquet")
+    for name, what in (("phrases", "YAML of phrases"), ("corrections", "YAML of corrections"), ("seeds", "YAML of a review's seeds"), ("english", "list of words with zipf frequencies"), ("profane", "list of parts that no word may hold")):
+        p.add_argument(f"--{name}", help=what)
+    p.add_argument("--common", type=float, default=3.0, help="zipf frequency from which an English word is avoided")
     sub = p.add_subparsers(dest="command", required=True)
 
     def command(name, run, *args, **options):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,8 +14,9 @@ SPELLING = (
     ("ce", "se"), ("ci", "si"), ("cy", "si"), ("ch", "tsh"), ("c", "k"), ("j", "zh"), ("p", "b"),
     ("ee", "i"), ("ea", "e"), ("oo", "u"), ("ou", "u"), ("ai", "a"), ("ay", "a"), ("oa", "o"), ("ie", "i"), ("ey", "i"), ("tsh", "sh"),
 )
-#: Patterns after the spelling rules: y as a vowel, runs of vowels, doubled consonants.
+# Patterns after the spelling rules: y as a vowel, runs of vowels, doubled consonants.
 CLEANING = ((r"y(?![aeiou])", "i"), (r"([aeiou])[aeiou]+", r"\1"), (r"([^aeiou])\1+", r"\1"))
+# Fixed values.
 ENDINGS = {"NOUN": "uz", "VERB": "ash", "ADJ": "rak"}
 SILENT_E = r"(?<=[^aeiou])e$"
 
@@ -39,20 +41,32 @@ def loan(lemma: str, pos: str) -> str:
 def respell_col(lemma: Column) -> Column:
     """``respell`` on the JVM; null stays null."""
     w = F.regexp_replace(F.lower(lemma), "[^a-z]", "")
-    w = F.when(F.length(w) > 3, F.regexp_replace(w, SILENT_E, "")).otherwise(w)
+    w = F.regexp_replace(w, "(?<=...)" + SILENT_E, "")  # only in words of more than three letters
     for a, b in SPELLING:
         w = F.replace(w, F.lit(a), F.lit(b))
     for a, b in CLEANING:
         w = F.regexp_replace(w, a, b.replace("\\", "$"))
-    return F.when(w == "", "u").otherwise(w)
+    return F.when(lemma.isNotNull(), F.coalesce(F.nullif(w, F.lit("")), F.lit("u")))
 
 
 def loan_col(lemma: Column, pos: Column) -> Column:
     """``loan`` on the JVM."""
-    w = respell_col(lemma)
-    w = F.when((pos == "VERB") & (F.length(w) > 4), F.regexp_replace(w, "at$", "")).otherwise(w)
-    cut = F.regexp_replace(w, "[aeiou]$", "")
-    return F.when(pos == "NOUN", F.concat(cut, F.lit("uz"))).when(pos == "VERB", F.concat(cut, F.lit("ash"))).when(pos == "ADJ", F.concat(w, F.lit("rak"))).otherwise(w)
+    return _bound(respell_col(lemma), lambda w: with_ending(w, pos))
+
+
+def with_ending(w: Column, pos: Column) -> Column:
+    """A respelled word with the ending of its word class; a final vowel gives way to an ending in a vowel."""
+    stem = F.when((pos == "VERB") & (F.length(w) > 4), F.regexp_replace(w, "at$", "")).otherwise(w)
+    out = F
+    for p, ending in ENDINGS.items():
+        base = F.regexp_replace(stem, "[aeiou]$", "") if ending[0] in "aeiou" else stem
+        out = out.when(pos == p, F.concat(base, F.lit(ending)))
+    return out.otherwise(stem)
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def respell_sql(lemma: str) -> str:

@@ -87,7 +87,9 @@ class Language:
                         self.helper.setdefault(w, f["kz"])
         self.alias = alias or {}
         filled = ((e.split(), re.sub(r"\{([^}]+)\}", lambda m: self._filled(m[1]), kz).split()) for e, kz in (phrases or {}).items())
-        self.phrases = sorted(filled, key=lambda p: -len(p[0]))
+        self.phrases: dict[str, list[tuple[list[str], list[str]]]] = {}  # by first word, the longest first
+        for p in sorted(filled, key=lambda p: -len(p[0])):
+            self.phrases.setdefault(p[0][0], []).append(p)
 
     def _filled(self, spec: str) -> str:
         sense, *tags = spec.split("+")
@@ -141,7 +143,7 @@ class Sentence:
         """Fill the slots of multi-word expressions, the longest first at each place; the places they cover."""
         low, covered, i = [t.low for t in self.t], set(), 0
         while i < len(low):
-            hit = next(((e, kz) for e, kz in self.lang.phrases if low[i : i + len(e)] == e), None)
+            hit = next(((e, kz) for e, kz in self.lang.phrases.get(low[i], ()) if low[i : i + len(e)] == e), None)
             if hit:
                 self.slots[i] = Slot([(w, ()) for w in hit[1]])
                 covered |= set(range(i, i + len(hit[0])))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -88,7 +88,11 @@ def log_probability(words: DataFrame, model: dict[str, DataFrame], word: str = "
     return t.groupBy("word").agg(F.avg(F.log2(p)).alias("logprob"))
 
 
+def numbers(values: Iterable[float]) -> Column:
+    """An array of fixed numbers, made of one literal."""
+    return F.split(F.lit(",".join(map(repr, map(float, values)))), ",").cast("array<double>")
+
+
 def percentile_in(scores: DataFrame, reference: list[float], col: str = "logprob") -> DataFrame:
     """``scores`` with ``percentile``: the share of a fixed, sorted reference sample (some thousand values) that isn't above the score."""
-    ref = F.array(*[F.lit(float(x)) for x in sorted(reference)])
-    return scores.withColumn("percentile", 100.0 * F.size(F.filter(ref, lambda r: r <= F.col(col))) / len(reference))
+    return scores.withColumn("percentile", 100.0 * F.size(F.filter(numbers(sorted(reference)), lambda r: r <= F.col(col))) / len(reference))

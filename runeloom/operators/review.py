@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from runeloom.functions.morphology import inflect
 from runeloom.operators.lexicon import merge_entries, validate
-from runeloom.operators.wordgen import RELAXATIONS, Filters, FormGuard, NearSet, Sampler, TrigramScore, generate_roots, syllables_for
+from runeloom.operators.wordgen import RELAXATIONS, Model, Style, Taken, WordLists, apart, candidates, reference_scores, syllables_for
 
 FIELDS = ("rank", "english", "pos", "count", "example", "proposed", "origin", "from_or_base", "alt1", "alt2", "alt3", "decision", "note")
 SCHEMA = ", ".join(f"`{f}` string" for f in FIELDS)
@@ -61,7 +61,7 @@ def shared_leaders(batch: DataFrame, covered: DataFrame, seeds: Seeds) -> DataFr
     return x.where("fixed is null").join(lead, "lemma").where("sense <> leader").select("sense", "leader")
 
 
-def propose(spark: SparkSession, worklist: DataFrame, covered: DataFrame, taken: list[tuple[str, str]], sampler: Sampler, score: TrigramScore, filters: Filters, seeds: Seeds, n: int = 600, seed: int = 1) -> DataFrame:
+def propose(spark: SparkSession, worklist: DataFrame, covered: DataFrame, taken: list[tuple[str, str]], style: Style, model: Model, lists: WordLists, seeds: Seeds, n: int = 600, seed: int = 1) -> DataFrame:
     """A batch for review, in the columns FIELDS. ``covered``: (lemma, pos, kz); ``taken``: (word, pos) of the lexicon, pos empty for function words.
 
     Every sense gets a word: fixed, shared, derived, or a new root with three alternatives; none clashes with the lexicon or another of the batch."""
@@ -73,37 +73,38 @@ def propose(spark: SparkSession, worklist: DataFrame, covered: DataFrame, taken:
     for r in chosen:
         pos_of.setdefault(leader.get(r.sense, r.sense), set()).add(r.sense.rpartition("/")[2])
     out: dict[str, dict] = {s: {"proposed": d["kz"], "origin": d.get("origin", "invented"), "from_or_base": d.get("from", ""), "alts": []} for r in chosen if (d := seeds.senses.get(s := r.sense)) and "kz" in d}
-    guard = FormGuard(filters)
+    given = Taken(lists)
     for w, p in [*taken, *((o["proposed"], "") for o in out.values())]:
-        guard.add(w, [p] if p else [])
-    used = NearSet([w for w, _ in taken] + [o["proposed"] for o in out.values()])
+        given.add(w, [p] if p else [])
+    reference = reference_scores(spark, style, model)
+    made: dict[int, list[tuple[str, float]]] = {}
     pools: dict[tuple[int, float], list[str]] = {}
 
-    def take(count: int, syllables: int, pos: set[str], keep: bool) -> list[str]:
+    def take(count: int, syllables: int, pos: set[str]) -> list[str]:
         got: list[str] = []
         for more, least in RELAXATIONS:
             key = (syllables + more, least)
+            if key[0] not in made:
+                made[key[0]] = candidates(spark, style, model, lists, 40_000, key[0], reference=reference)
             if key not in pools:
-                pools[key] = [w for w, _ in generate_roots(spark, sampler, score, filters, max(60, 8 * len(chosen)), *key, tries=40_000)]
+                pools[key] = [w for w, _ in apart(made[key[0]], max(60, 8 * len(chosen)), least)]
             pool = pools[key]
             for w in list(pool):
                 if len(got) == count:
                     return got
-                if not used.near(w) and guard.ok(w, pos):
+                if given.free(w, pos):
                     got.append(w)
                     pool.remove(w)
-                    if keep:
-                        used.add(w)
-                        guard.add(w, pos)
+                    given.add(w, pos)
         if len(got) < count:
             raise RuntimeError(f"no {count} words of about {syllables} syllables are left")
         return got
 
     fresh = [r for r in chosen if r.sense not in out and r.sense not in leader and not seeds.senses.get(r.sense, {}).keys() & {"base", "same"}]
     for r in fresh:
-        out[r.sense] = {"proposed": take(1, syllables_for(r.rank, seed, r.sense), pos_of.get(r.sense, set()), True)[0], "origin": "invented", "from_or_base": "", "alts": []}
+        out[r.sense] = {"proposed": take(1, syllables_for(r.rank, seed, r.sense), pos_of.get(r.sense, set()))[0], "origin": "invented", "from_or_base": "", "alts": []}
     for r in fresh:  # after all words are given, so that no alternative clashes with one
-        out[r.sense]["alts"] = take(3, syllables_for(r.rank, seed, r.sense), pos_of.get(r.sense, set()), True)
+        out[r.sense]["alts"] = take(3, syllables_for(r.rank, seed, r.sense), pos_of.get(r.sense, set()))
     word = lambda s: out[s]["proposed"] if s in out else known.get(s)
     for _ in range(3):
         for r in chosen:

@@ -251,8 +251,9 @@ def loan_respell(spark: SparkSession, d: str) -> DataFrame:
 @query
 def loan_stem(spark: SparkSession, d: str) -> DataFrame:
     """Loan stems of every English word as noun, verb and adjective."""
-    w = F.col("word")
-    return _types(spark, d).select("word", *[loan.loan_col(w, F.lit(p)).alias(p.lower()) for p in ("NOUN", "VERB", "ADJ")])
+    parts = ("NOUN", "VERB", "ADJ")
+    stems = F.transform(F.array(loan.respell_col(F.col("word"))), lambda w: F.struct(*[loan.with_ending(w, F.lit(p)).alias(p.lower()) for p in parts]))
+    return _types(spark, d).select("word", F.explode(stems).alias("s")).select("word", "s.*")
 
 
 @query
@@ -411,39 +412,48 @@ def translate_records(spark: SparkSession, d: str) -> DataFrame:
     return translation.translate(table(spark, d, "parallel_records", "ordinal", "en"), "ordinal", "en", lang).withColumnRenamed("id", "ordinal")
 
 
-def _generator(spark: SparkSession, d: str) -> tuple[wordgen.Sampler, wordgen.TrigramScore, wordgen.Filters]:
-    """Sampler, score and filters from the lexicon, a table that never grows."""
+def _generator(spark: SparkSession, d: str) -> tuple[wordgen.Style, wordgen.Model, wordgen.WordLists]:
+    """Style, model and word lists from the lexicon, a table that never grows. English words are those of the senses, source words those of borrowed entries."""
     w = _roots(spark, d).select("word", F.lit("all").alias("source")).distinct()
     counts = phonotactics.blend(phonotactics.sound_counts(w), w.groupBy("source").agg(F.count(F.lit(1)).alias("words")), {"all": 1.0})
     blended: dict[str, dict[str, float]] = {}
     for r in counts.where(F.col("kind").isin("initial", "final", "medial", "syllables")).orderBy("kind", "key").collect():
         blended.setdefault(r.kind, {})[r.key] = r.p
-    score = wordgen.TrigramScore({(r.a, r.b, r.c): r.n for r in phonotactics.trigrams(w).collect()})
-    return wordgen.Sampler(blended), score, wordgen.Filters(existing=frozenset(r.word for r in w.collect()))
+    model = {k: materialize(t, "model") for k, t in phonotactics.trigram_model(phonotactics.trigrams(w)).items()}
+    senses = table(spark, d, "lexicon", "en").select(F.explode("en").alias("s")).select(F.lower(F.substring_index("s", "/", 1)).alias("e")).where("e <> ''").distinct()
+    lists = wordgen.WordLists(existing=frozenset(r.word for r in w.collect() if r.word), english=frozenset(r.e for r in senses.collect()))
+    return wordgen.Style(blended), model, lists
 
 
 @query
 def new_roots(spark: SparkSession, d: str) -> DataFrame:
     """A hundred new roots that fit the lexicon and stay apart."""
-    sampler, score, filters = _generator(spark, d)
-    found = wordgen.generate_roots(spark, sampler, score, filters, 100)
+    found = wordgen.generate_roots(spark, *_generator(spark, d), 100)
     return spark.createDataFrame(found, "word string, percentile double")
 
 
 @query
 def root_scores(spark: SparkSession, d: str) -> DataFrame:
-    """How every word of the made language scores among sampled ones."""
-    sampler, score, _ = _generator(spark, d)
-    return wordgen.score_words(_roots(spark, d), score, wordgen.reference_scores(sampler, score), wordgen.Filters())
+    """How every word of the made language scores among sampled ones, and what English words it is near to."""
+    style, model, lists = _generator(spark, d)
+    return wordgen.score_words(_roots(spark, d), model, wordgen.reference_scores(spark, style, model), wordgen.WordLists(english=lists.english))
+
+
+def _seeds(spark: SparkSession, worklist: DataFrame):
+    """Decisions made beforehand, made of the worklist: the rarest sense comes along out of turn."""
+    from runeloom.operators import review
+
+    last = worklist.orderBy(F.desc("rank")).first()
+    return review.Seeds(extra=[f"{last.lemma}/{last.pos}"] if last else [])
 
 
 @query
 def review_batch(spark: SparkSession, d: str) -> DataFrame:
-    """The next hundred senses for the lexicon, with words proposed for them."""
+    """The next 600 senses for the lexicon, and the rarest one out of turn, with words proposed for them."""
     from runeloom.operators import review
 
-    sampler, score, filters = _generator(spark, d)
+    style, model, lists = _generator(spark, d)
     covered = lexicon.sense_index(table(spark, d, "lexicon"))
     taken = [(r.kz, r.pos) for r in covered.select("kz", "pos").distinct().collect()] + [(r.kz, "") for r in table(spark, d, "function_words", "kz").collect()]
     w = materialize(vocabulary.with_examples(_coverage(spark, d)[1], table(spark, d, "parallel_records", "ordinal", "en"), "ordinal", "en"), "worklist")
-    return review.propose(spark, w, covered, taken, sampler, score, filters, review.Seeds(), 100)
+    return review.propose(spark, w, covered, taken, style, model, lists, _seeds(spark, w), 600)

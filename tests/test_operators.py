@@ -12,8 +12,9 @@ from runeloom.functions.glossing import Glosser
 from runeloom.functions.register import register, register_stories
 from runeloom.functions.rewriting import Language
 from runeloom.operators import glosses, lexicon, near, packing, phonotactics, review, translation, vocabulary, wordgen
+from runeloom.functions.sounds import root_problems, segments, shape
 from runeloom.plans.corpus import Options, report, run_pack, run_translate
-from runeloom.sources import records, texts
+from runeloom.sources import decisions, records, texts
 from runeloom.streaming import texts as streams
 from runeloom.work import materialize, shared_dir, spread
 
@@ -60,7 +61,7 @@ def test_near(spark):
 
 
 def test_sounds(spark):
-    words = ["gromdal", "dammaz", "skreka", "az", "gromdal", None, ""]
+    words = ["gromdal", "gammuz", "skreka", "az", "gromdal", None, ""]
     counts = phonotactics.sound_counts(spark.createDataFrame([("s", w) for w in words], "source string, word string"))
     got = {(r.kind, r.key): r.n for r in counts.collect()}
     assert got["initial", "g.r"] == 1 and got["geminate", "yes"] == 1 and got["final_nucleus", "a#"] == 1 and got["syllables", "2"] == 3
@@ -73,10 +74,19 @@ def test_model_on_tables_and_in_tasks(spark):
     words = ["grund", "karak", "drashki", "az", "zharr"]
     df = spark.createDataFrame([("s", w) for w in words], "source string, word string")
     tri = phonotactics.trigrams(df)
-    score = wordgen.TrigramScore({(r.a, r.b, r.c): r.n for r in tri.collect()})
+    segs = lambda w: ["<", "<", *segments(w, True), ">"]
+    n: Counter = Counter()
+    for w in words:
+        x = segs(w)
+        for a, b, c in zip(x, x[1:], x[2:]):
+            n.update([(a, b, c), ("of", a, b), (b, c), ("of", b), c])
+    single = {k: v for k, v in n.items() if isinstance(k, str)}
     probe = spark.createDataFrame([(w,) for w in [*words, "xyz", "khorn"]], "word string")
     for r in phonotactics.log_probability(probe, phonotactics.trigram_model(tri)).collect():
-        assert math.isclose(r.logprob, score(r.word))
+        x, ps = segs(r.word), []
+        for a, b, c in zip(x, x[1:], x[2:]):
+            ps.append(0.6 * n[a, b, c] / max(n["of", a, b], 1) + 0.3 * n[b, c] / max(n["of", b], 1) + 0.1 * (n[c] + 1) / (sum(single.values()) + len(single) + 1))
+        assert math.isclose(r.logprob, sum(map(math.log2, ps)) / len(ps))
     p = phonotactics.percentile_in(probe.withColumn("logprob", F.length("word").cast("double")), [1.0, 2.0, 3.0, 4.0])
     assert {r.word: r.percentile for r in p.collect()}["az"] == 50.0
 
@@ -173,30 +183,49 @@ def test_yaml_and_fingerprint(spark, tmp_path):
             lexicon.load_content_yaml(spark, [str(b)])
 
 
-def generator():
+def generator(spark):
     blended = {"initial": {"g.r": 2.0, "k": 1.0, "": 0.5}, "final": {"k": 1.0, "n": 1.0, "": 0.4}, "medial": {"z": 1.0, "m.d": 1.0}, "syllables": {"1": 1.0, "2": 2.0}}
-    return wordgen.Sampler(blended, 3), wordgen.TrigramScore({("<", "<", "g"): 3, ("<", "g", "r"): 3, ("a", "k", ">"): 2, ("a", "n", ">"): 1, ("g", "r", "a"): 2, ("r", "a", "k"): 2})
-
+    tri = spark.createDataFrame([("<", "<", "g", 3), ("<", "g", "r", 3), ("a", "k", ">", 2), ("a", "n", ">", 1), ("g", "r", "a", 2), ("r", "a", "k", 2)], "a string, b string, c string, n bigint")
+    return wordgen.Style(blended, 3), phonotactics.trigram_model(tri)
 
-def test_sampler():
-    s, _ = generator()
-    words = [s.raw(i) for i in range(300)]
-    assert words == [wordgen.Sampler(s.blended, 3).raw(i) for i in range(300)] and words != [wordgen.Sampler(s.blended, 4).raw(i) for i in range(300)]
-    from runeloom.functions.sounds import root_problems, shape
 
+def test_samples(spark):
+    style, _ = generator(spark)
+    made = lambda style, n, *k: [r.word for r in wordgen.sample_words(spark.range(n), style, *k).orderBy("number").collect()]
+    words = made(style, 300)
+    again = wordgen.sample_words(spark.range(300).repartition(7), wordgen.Style(style.blended, 3)).orderBy("number")
+    assert words == [r.word for r in again.collect()] and words != made(wordgen.Style(style.blended, 4), 300)
     assert sum(not root_problems(w) for w in words) > 150
-    assert all(len(shape(s.raw(i, 2)).nuclei) == 2 for i in range(100))
+    assert all(len(shape(w).nuclei) == 2 for w in made(style, 100, 2))
+
+
+def test_draws_take_room_by_weight(spark):
+    weights = {"a": 1.0, "b": 0.0, "c": 3.0}
+    got = Counter(r.k for r in spark.range(4000).select(wordgen.drawn(weights, wordgen.uniform_col(F.lit(5), F.col("id"))).alias("k")).collect())
+    assert set(got) == {"a", "c"} and 2850 < got["c"] < 3150
+    u = spark.range(50).select(wordgen.uniform_col(F.lit("x"), F.col("id")).alias("u")).collect()
+    assert [r.u for r in u] == [wordgen.uniform("x", i) for i in range(50)] and all(0 <= r.u < 1 for r in u)
+
+
+def test_rejections_and_warnings(spark):
+    lists = wordgen.WordLists(existing=frozenset({"grak", "kazun"}), english=frozenset({"gran", "karun", "gruns"}), sources=frozenset({"thorm", "thor"}), profane=frozenset({"shut"}), profane_parts=("zuz",))
+    words = spark.createDataFrame([(w,) for w in ["grak", "gran", "kazuz", "shut", "thor", "thorm", "karu", "xq", "gruns", "bolg", "karuk", None, ""]], "word string")
+    _, model = generator(spark)
+    got = {r.word: r for r in wordgen.score_words(words, model, [-3.0, -1.0], lists).collect()}
+    want = {"grak": "too close to an existing word", "gran": "english word", "kazuz": "profane", "shut": "profane", "thor": "identical to a source word", "bolg": None}
+    assert {w: got[w].reject for w in want} == want and got["xq"].reject.startswith("illegal: letters") and set(got) == {w for (w,) in words.collect() if w}
+    assert got["karuk"].flags == ["near-english:karun"] and got["thorm"].flags == ["near-source:thor"] and got["karu"].flags == [] and got["bolg"].syllables == 1
 
 
 def test_generated_roots(spark):
-    s, score = generator()
-    filters = wordgen.Filters(existing=frozenset({"grak", "kazun"}), english=frozenset({"gran"}), profane_parts=("zuz",))
-    got = wordgen.generate_roots(spark, s, score, filters, 20)
+    style, model = generator(spark)
+    lists = wordgen.WordLists(existing=frozenset({"grak", "kazun"}), english=frozenset({"gran"}), profane_parts=("zuz",))
+    got = wordgen.generate_roots(spark, style, model, lists, 20)
     words = [w for w, _ in got]
-    assert len(words) == 20 and got == wordgen.generate_roots(spark, s, score, filters, 20)
-    for w in words:
-        assert filters.reject(w) is None and not wordgen.NearSet(x for x in words if x != w).near(w)
-    assert filters.reject("grak") and filters.reject("gran") == "english word" and filters.reject("kazuz").startswith("profane")
+    assert len(words) == 20 and got == wordgen.generate_roots(spark, style, model, lists, 20)
+    assert {r.reject for r in wordgen.score_words(spark.createDataFrame([(w,) for w in words], "word string"), model, [0.0], lists).collect()} == {None}
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    assert near.near_join(df, df).where("query <> hit").count() == 0
     assert wordgen.syllables_for(5, "x") == 1 and {wordgen.syllables_for(None, i) for i in range(50)} == {1, 2}
 
 
@@ -206,7 +235,7 @@ def test_propose_and_apply(spark, functions):
     work = spark.createDataFrame([(i + 1, *s.split("/"), 100 - i, "an example") for i, s in enumerate(["dwarf/NOUN", "iron/NOUN", "iron/VERB", "walker/NOUN", "stroll/VERB", "stone/NOUN", "mist/NOUN"])], "rank bigint, lemma string, pos string, count bigint, example string")
     seeds = review.Seeds({"walker/NOUN": {"base": "@walk/VERB+AGT"}, "stroll/VERB": {"same": "wander/VERB"}, "stone/NOUN": {"kz": "kurm", "origin": "borrowed", "from": "old"}}, extra=["beer/NOUN"])
     taken = [("grund", "NOUN"), ("thaluk", "VERB"), ("gawi", "NOUN"), ("gawit", "NOUN"), ("ta", ""), ("zu", "")]
-    batch = review.propose(spark, work, covered, taken, *generator(), wordgen.Filters(existing=frozenset(w for w, _ in taken)), seeds, 5)
+    batch = review.propose(spark, work, covered, taken, *generator(spark), wordgen.WordLists(existing=frozenset(w for w, _ in taken)), seeds, 5)
     rows = {f"{r.english}/{r.pos}": r for r in batch.collect()}
     assert set(rows) == {"iron/NOUN", "iron/VERB", "walker/NOUN", "stroll/VERB", "stone/NOUN", "beer/NOUN", "wander/VERB"}
     assert rows["iron/VERB"].proposed == rows["iron/NOUN"].proposed and rows["iron/VERB"].origin == "shared"
@@ -366,3 +395,19 @@ def test_work_tables(spark):
     assert back.dtypes == df.dtypes and sorted(back.collect()) == sorted(df.collect())
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
     assert spread(df.coalesce(1)).rdd.getNumPartitions() >= 4
+
+
+def test_decision_files(spark, tmp_path):
+    (tmp_path / "p.yaml").write_text("phrases:\n  once upon a time: gez {day/NOUN+PL}\n")
+    (tmp_path / "c.yaml").write_text("alias:\n  scar/VERB: scare/VERB\nskip: [x/NOUN]\nfunction: [all/ADV]\n")
+    (tmp_path / "s.yaml").write_text("senses:\n  stone/NOUN: {kz: kurm, origin: borrowed, from: old}\n  walker/NOUN: {base: '@walk/VERB+AGT'}\nextra: [beer/NOUN]\n")
+    (tmp_path / "f.tsv").write_text("word\tzipf\nHouse\t5.2\nhall\t4\n")
+    (tmp_path / "w.txt").write_text("Bad # remark\n\n# all\nworse\n")
+    assert decisions.read_phrases(f"{tmp_path}/p.yaml") == {"once upon a time": "gez {day/NOUN+PL}"}
+    assert decisions.read_corrections(f"{tmp_path}/c.yaml") == ({("scar", "VERB"): ("scare", "VERB")}, [("x", "NOUN")], [("all", "ADV")])
+    seeds = decisions.read_seeds(f"{tmp_path}/s.yaml")
+    assert seeds.needs() == [("walker/NOUN", "walk/VERB")] and seeds.extra == ["beer/NOUN"] and seeds.senses["stone/NOUN"]["kz"] == "kurm"
+    assert decisions.read_frequencies(f"{tmp_path}/f.tsv") == {"house": 5.2, "hall": 4.0} and decisions.read_words(f"{tmp_path}/w.txt") == {"bad", "worse"}
+    (tmp_path / "s.yaml").write_text("senses:\n  stone/NOUN: {kz: kurm, same: x/NOUN}\n")
+    with pytest.raises(ValueError):
+        decisions.read_seeds(f"{tmp_path}/s.yaml")
