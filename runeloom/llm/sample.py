@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from runeloom.llm.verify import asked_only
+
 #: Size of a block as a power of two.
 BITS = 10
 
@@ -34,16 +36,15 @@ def block_sample(df: DataFrame, id_col: str, text_col: str, seq_col: str, order_
     a row with neither is a unit of its own. Its sequence number is ``seq_col`` of its first row in the order of
     (``order_col``, ``seq_col``), nulls last: rows of later deliveries don't change it. Rows with a null
     ``seq_col`` are never chosen. Units are aggregated with partial minima; rows meet the chosen units in a
-    semi join, in which adaptive execution splits an id that holds many rows."""
+    semi join, in which adaptive execution splits an id that holds many rows; a bitmap of fixed size keeps nearly all other rows, and their texts, out of its shuffle."""
     unit = F.coalesce(F.concat(F.lit("i"), F.col(id_col).cast("string")), F.concat(F.lit("t"), F.md5(F.col(text_col))), F.concat(F.lit("s"), F.col(seq_col).cast("string")))
     first = F.min(F.struct(F.col(order_col).isNull().alias("n"), F.col(order_col).alias("o"), F.col(seq_col).alias("s")))
     units = df.where(F.col(seq_col).isNotNull()).groupBy(unit.alias("__unit")).agg(first.alias("f"))
     chosen = units.where(permuted(F.col("f.s"), seed, bits) < per_block).select("__unit")
-    name = "__unit"
-    while name in df.columns:
-        name += "_"
-    rows = df.where(F.col(seq_col).isNotNull()).withColumn(name, unit)
-    return rows.join(chosen.withColumnRenamed("__unit", name), name, "left_semi").drop(name)
+    name = "unit"
+    chosen = chosen.select(F.col("__unit").alias(name), F.xxhash64("__unit").alias("key"))
+    rows = df.where(F.col(seq_col).isNotNull()).select(F.struct(*[F.col(c) for c in df.columns]).alias("row"), unit.alias(name)).withColumn("key", F.xxhash64(name))
+    return asked_only(rows, chosen.select("key")).join(chosen.select(name), name, "left_semi").select("row.*")
 
 
 def sample_sql(source: str, columns: str, id_col: str, text_col: str, seq_col: str, order_col: str, per_block: int, seed: int = 1, bits: int = BITS) -> str:
