@@ -107,17 +107,25 @@ def dictionary(terms: DataFrame) -> DataFrame:
 
 
 def _sum_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
+    """From rows in the order of their numbers: the sums of one range after another, one range in memory."""
+    now, sums = -1, np.zeros((2, RANGE), np.int64)
+
+    def full() -> pa.RecordBatch:
+        some = np.flatnonzero(sums[1])
+        return pa.RecordBatch.from_arrays([pa.array(some + now * RANGE), pa.array(sums[0][some]), pa.array(sums[1][some])], names=["number", "occurrences", "records"])
+
     for b in batches:
-        number, counts = b.column(0).to_numpy(), np.stack([b.column(1).to_numpy(), b.column(2).to_numpy()])
+        number, counts = b.column(0).to_numpy(), (b.column(1).to_numpy(), b.column(2).to_numpy())
         for r in np.unique(number // RANGE).tolist():
-            own = number // RANGE == r
-            a = sums.setdefault(r, np.zeros((2, RANGE), np.int64))
+            if r != now:
+                if now >= 0:
+                    yield full()
+                now, sums = r, np.zeros((2, RANGE), np.int64)
+            lo, hi = np.searchsorted(number, [r * RANGE, (r + 1) * RANGE])
             for k in (0, 1):
-                np.add.at(a[k], number[own] - r * RANGE, counts[k][own])
-    for r, a in sums.items():
-        some = np.flatnonzero(a[1])
-        yield pa.RecordBatch.from_arrays([pa.array(some + r * RANGE), pa.array(a[0][some]), pa.array(a[1][some])], names=["number", "occurrences", "records"])
+                np.add.at(sums[k], number[lo:hi] - r * RANGE, counts[k][lo:hi])
+    if now >= 0:
+        yield full()
 
 
 def term_counts(blocks: DataFrame, totals: DataFrame, rare: int = 2, common: float = 0.1) -> DataFrame:
@@ -126,7 +134,7 @@ def term_counts(blocks: DataFrame, totals: DataFrame, rare: int = 2, common: flo
     blocks = materialize(blocks, "blocks")
     numbers = dictionary(blocks)
     coded = blocks.join(numbers, ["field", "term"]).select("number", "occurrences", "records")
-    sums = coded.repartition(F.expr(f"number div {RANGE}")).mapInArrow(_sum_ranges, "number bigint, occurrences bigint, records bigint")
+    sums = coded.repartition(F.expr(f"number div {RANGE}")).sortWithinPartitions("number").mapInArrow(_sum_ranges, "number bigint, occurrences bigint, records bigint")
     out = sums.join(numbers, "number").join(F.broadcast(totals), "field")
     mark = F.when(F.col("records") <= rare, "rare").when(F.col("records") > common * F.col("total"), "common")
     return out.select("field", "term", "occurrences", "records", mark.alias("mark"))
