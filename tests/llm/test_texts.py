@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from runeloom.llm import leaks as leaks_module
-from runeloom.llm.format_copies import copies_of_first, copy_counts, json_field
+from runeloom.llm.format_copies import canonical_object, canonical_record, copies_of_first, copy_counts, json_field
 from runeloom.llm.leaks import leaks
 from runeloom.llm.pack import MAX_DOCS, best_fit, containers
 from runeloom.llm.queries import p8_report
@@ -107,6 +107,17 @@ def test_copies(rows):
     assert got == {3: (3, False), 4: (1, False), 2: (2, False)}
 
 
+def test_field_order_and_format_of_whole_records(rows):
+    lines = ['{"en": "A b", "kz": "Gor!"}', '{"kz":"gor","en":"a  B","x":""}', '{"en": "gor", "kz": "a b"}', '{"en": "Abgor"}', "no object", None, "{}"]
+    df = rows([(i, t) for i, t in enumerate(lines)], "no bigint, line string")
+    assert {tuple(r) for r in copies_of_first(df, "no", canonical_object(df.line), True).collect()} == {(0, 1)}
+    assert copy_counts(df, "no", canonical_object(df.line), True).count() == 3
+    df = rows([(1, "A b", "Gor!"), (2, "a  B", "gor"), (3, "gor", "a b"), (4, "abgor", None), (5, "", " "), (6, None, None)], "no bigint, en string, kz string")
+    for fields in ({"en": df.en, "kz": df.kz}, {"kz": df.kz, "en": df.en}):
+        assert {tuple(r) for r in copies_of_first(df, "no", canonical_record(fields), True).collect()} == {(1, 2)}
+        assert copy_counts(df, "no", canonical_record(fields), True).count() == 3
+
+
 def test_json_lines(rows):
     lines = ['{"id": 1, "en": "A b"}', '\t{"en":"A b","id":2} ', '{"id": 1, "en": "A b"', '{"en": "A b"} {"en": "c"}', '{"en": "A b"} x', "{'en': 'A b'}", "", None, '{"id": 3}', '{"en": null}', '["en"]', json.dumps({"en": "é\n\"q\""})]
     df = rows([(i, t) for i, t in enumerate(lines)], "no bigint, line string")
@@ -324,6 +335,13 @@ def test_natural_boundaries_come_first(tok):
     assert LINE > SENTENCE
 
 
+def test_sentence_ends(tok):
+    ends_of = lambda t: [t.encode()[: e].decode() for e, s in zip(tok.ends(t), boundaries(t, tok.ends(t))[0][1:]) if s >= SENTENCE and e < len(t.encode())]
+    assert ends_of("Mr. Grim sat. He slept!") == ["Mr. Grim sat."]
+    assert [x[-1] for x in ends_of("日本語。日本語！日本語")] == ["。", "！"]
+    assert ends_of("3.5 stones (e.g. grey ones) fell") == []
+
+
 def test_split_texts(rows):
     data = [(1, "a b c. " * 400, "s"), (2, "short", "s"), (3, None, "s"), (4, "", "s"), (5, "x" * 60_000, "s"), (None, "a b " * 500, "s"), (6, "no breaks " * 3000, "s")]
     got = split_texts(rows(data, "no bigint, text string, piece string"), "no", "text", [("s", 64, 8), ("w", 256, 16)]).toPandas()
