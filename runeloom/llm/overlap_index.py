@@ -106,7 +106,7 @@ def _fresh(classes: list[int], seen: set[int]) -> list[int]:
 
 
 def _train_seeds(least: int, fields: int, size: int):
-    """(seed, key, size class) of the texts of each class that a task meets first."""
+    """(seed, key, size class, number of seeds) of the distinct seeds of the texts of each class that a task meets first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -118,12 +118,25 @@ def _train_seeds(least: int, fields: int, size: int):
                 if len(at):
                     own = np.searchsorted(offsets, at, side="right") - 1
                     seed = (window_hashes(hashes, tuple(range(SEED)))[at] >> np.uint64(64 - _SEED_BITS)).astype(np.int64)
-                    of = size_class(distinct_sequences(hashes, offsets, size))
-                    yield pa.RecordBatch.from_arrays([pa.array(seed), pa.array(np.array([keys[i] for i in new], np.int64)[own]), pa.array(of[own])], names=["seed", "key", "size"])
+                    order = np.lexsort((seed, own))
+                    own, seed = own[order], seed[order]
+                    once = np.ones(len(own), bool)
+                    once[1:] = (own[1:] != own[:-1]) | (seed[1:] != seed[:-1])
+                    own, seed = own[once], seed[once]
+                    of, n = size_class(distinct_sequences(hashes, offsets, size)), np.bincount(own, minlength=len(new)).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(seed), pa.array(np.array([keys[i] for i in new], np.int64)[own]), pa.array(of[own]), pa.array(n[own])], names=["seed", "key", "size", "seeds"])
 
     return run
 
 
+def least_share(size: int, threshold: tuple[int, int]) -> float:
+    """The share of a text's seeds that one alike with it holds at least, if it is made of runs of the text. Texts of n sequences with the share t in common have x = 2t / (1 + t)
+    of them in common; each run of w words holds w - size + 1 of them, so there are at most (1 - x) n / (size - 1) runs, and a run holds (w - SEED - STRIDE + 2) / STRIDE of n / STRIDE seeds or more. Texts of unequal size share more."""
+    t = threshold[0] / threshold[1]
+    x = 2 * t / (1 + t)
+    return max(0.0, x - (1 - x) / max(size - 1, 1) * max(SEED + STRIDE - size - 1, 0))
+
+
 def size_class(sizes: np.ndarray) -> np.ndarray:
     return np.minimum(np.floor(np.log(np.maximum(sizes, 1)) / math.log(RATIO)), SIZES - 1).astype(np.int32)
 
@@ -391,9 +404,9 @@ def overlap_classes(df: DataFrame, id_col: str, fields: list[str], is_eval: Colu
     held_seeds = chosen.select("shard", "size", "text").mapInArrow(_held_seeds, "seed bigint, shard int, sizes bigint").groupBy("seed", "shard").agg(F.bit_or("sizes").alias("sizes"))
     reach = math.ceil(math.log(threshold[1] / threshold[0]) / math.log(RATIO))
     fitting = F.expr(f"shiftleft(1L, least(size + {reach}, {SIZES - 1}) + 1) - shiftleft(1L, greatest(size - {reach}, 0))")
-    seeds = train.mapInArrow(_train_seeds(least, n, size), "seed bigint, key bigint, size int")
-    routes = seeds.join(held_seeds, "seed").where(F.col("sizes").bitwiseAND(fitting) != 0).select("key", "shard").distinct()
-    routes = materialize(routes, "routes")
+    seeds = train.mapInArrow(_train_seeds(least, n, size), "seed bigint, key bigint, size int, seeds int")
+    met = seeds.join(held_seeds, "seed").where(F.col("sizes").bitwiseAND(fitting) != 0).groupBy("key", "shard").agg(F.count(F.lit(1)).alias("hits"), F.first("seeds").alias("seeds"))
+    routes = materialize(met.where(F.col("hits") >= F.col("seeds") * least_share(size, threshold)).select("key", "shard"), "routes")
 
     asked = {r.shard: r.n for r in routes.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a shard
     all_, cores, base, tasks = sum(asked.values()), spark.sparkContext.defaultParallelism, 0, []
