@@ -135,11 +135,7 @@ def cmd_merge(spark, a) -> int:
     first = [w.orderBy("rank").first() for w in lists]
     free = [r.cum_coverage - r.per_million / 1e6 for r in first]
     total = sum(free) / len(free)
-    ranked = merged.withColumn("rate", F.col("per_million") / 1e6)
-    from pyspark.sql import Window
-
-    order = Window.orderBy(F.desc("per_million"), "lemma", "pos")
-    out = ranked.select(F.row_number().over(order).alias("rank"), "lemma", "pos", "count", "per_million", (F.sum("rate").over(order.rowsBetween(Window.unboundedPreceding, 0)) + total).alias("cum_coverage"), "example")
+    out = vocabulary.merged_worklist(merged, total)
     texts.write_worklist(out, f"{a.out}/{a.source}_lemmas")
     rates = lists[0].limit(0).select(F.lit("").alias("corpus"), "lemma", "pos", "per_million")
     for i, w in enumerate(lists):

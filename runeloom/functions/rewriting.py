@@ -26,16 +26,16 @@ PRONOUN = {
 OWNER = {"my": "ora", "mine": "ora", "your": "uza", "yours": "uza", "his": "eka", "her": "eka", "hers": "eka", "its": "eka", "our": "uta", "ours": "uta", "their": "uma", "theirs": "uma"}
 SELF = {"myself": "ora", "yourself": "uza", "himself": "eka", "herself": "eka", "itself": "eka", "ourselves": "uta", "yourselves": "afa", "themselves": "uma"}
 QUESTION = {"what": "worak", "who": "worki", "whom": "worki", "where": "woraz", "when": "worur", "why": "woros", "how": "worul", "which": "wor", "whose": "worki"}
-UNITS = dict(zip("one two three four five six seven eight nine ten".split(), "un tuf thra kag vam sib mok gir nund zer".split()))
-ORDINAL = dict(zip("first second third fourth fifth sixth seventh eighth ninth tenth".split(), UNITS.values()))
+UNITS = {"one": "un", "two": "tuf", "three": "thra", "four": "kag", "five": "vam", "six": "sib", "seven": "mok", "eight": "gir", "nine": "nund", "ten": "zer"}
+ORDINAL = {"first": "un", "second": "tuf", "third": "thra", "fourth": "kag", "fifth": "vam", "sixth": "sib", "seventh": "mok", "eighth": "gir", "ninth": "nund", "tenth": "zer"}
 LARGE = {"hundred": "kunk", "thousand": "thrul"}
-TEENS = dict(zip("eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split(), UNITS.values()))
-TENS = dict(zip("twenty thirty forty fifty sixty seventy eighty ninety".split(), list(UNITS.values())[1:]))
+TEENS = {"eleven": "un", "twelve": "tuf", "thirteen": "thra", "fourteen": "kag", "fifteen": "vam", "sixteen": "sib", "seventeen": "mok", "eighteen": "gir", "nineteen": "nund"}
+TENS = {"twenty": "tuf", "thirty": "thra", "forty": "kag", "fifty": "vam", "sixty": "sib", "seventy": "mok", "eighty": "gir", "ninety": "nund"}
 FALLBACK_CATS = ("quantifier", "determiner", "numeral", "correlative")
 MODALS = {"can", "could", "may", "might", "must", "shall", "should", "will", "would", "'ll", "’ll", "'d", "’d", "wo", "ca", "sha"}
-WEATHER = set("dark light cold hot warm cool sunny rainy windy cloudy snowy foggy late early night day morning evening time noon quiet loud".split())
-TITLES = set("mom mommy mum mummy mama dad daddy papa grandma grandpa granny grandmother grandfather sir mister miss teacher doctor king queen baby sweetie honey".split())
-RESPECT = set("sir madam majesty highness lord lady king queen elder master grandfather grandmother".split())
+WEATHER = {"dark", "light", "cold", "hot", "warm", "cool", "sunny", "rainy", "windy", "cloudy", "snowy", "foggy", "late", "early", "night", "day", "morning", "evening", "time", "noon", "quiet", "loud"}
+TITLES = {"mom", "mommy", "mum", "mummy", "mama", "dad", "daddy", "papa", "grandma", "grandpa", "granny", "grandmother", "grandfather", "sir", "mister", "miss", "teacher", "doctor", "king", "queen", "baby", "sweetie", "honey"}
+RESPECT = {"sir", "madam", "majesty", "highness", "lord", "lady", "king", "queen", "elder", "master", "grandfather", "grandmother"}
 QUOTE_MARKS = {'"', "“", "”"}
 CLOSING = {".", ",", "!", "?", ";", ":", ")", "…", "...", "%"}
 NOUNS = ("NOUN", "PROPN")

@@ -41,7 +41,7 @@ def tag_types(types: DataFrame, content: DataFrame, functions: DataFrame) -> Dat
 def tags_sql(source: str) -> str:
     """DuckDB: WITH tables up to ``tagged`` (word, n, place, lemma, pos, like_num, bucket columns left to the caller); ``source`` selects (place, text)."""
     tries = " UNION ALL ".join(["SELECT word, 0 AS k, lower(word) AS lemma FROM types", *[f"SELECT word, {i}, lower(word)[:-{len(e) + 1}] || '{r}' FROM types WHERE length(word) >= {n} AND lower(word) LIKE '%{e}'" for i, (e, r, n) in enumerate(ENDINGS, 1)]])
-    cats = ", ".join(f"('{c}', '{p}')" for c, x in COVERED_POS.items() for p in x.split())
+    cats = ", ".join(f"('{c}', '{p}')" for c, x in COVERED_POS.items() for p in x)
     return rf"""src AS ({source}),
 types AS (SELECT word, count(*) AS n, min(place) AS place FROM (SELECT place, unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+')) AS word FROM src) GROUP BY word),
 sense AS (SELECT kz, regexp_extract(s, '^(.*)/', 1) AS lemma, regexp_extract(s, '([^/]*)$', 1) AS pos FROM (SELECT kz, unnest(en) AS s FROM lexicon)),

@@ -31,17 +31,19 @@ def _frame(ids: pd.Series, rows: list[tuple]) -> pd.DataFrame:
     return out
 
 
-def translate(df: DataFrame, id_col: str, text_col: str, lang: Language) -> DataFrame:
-    """(id, kz, words, loans, loan_rate, unknown, names, loan_words, unknown_words): every text translated with the parser by rule. A null text gives a null with counts of 0."""
+def translate(df: DataFrame, id_col: str, text_col: str, lang: Language, keep_text: bool = False) -> DataFrame:
+    """(id, kz, words, loans, loan_rate, unknown, names, loan_words, unknown_words): every text translated with the parser by rule. A null text gives a null with counts of 0.
+    With ``keep_text`` the column ``text`` comes along, which costs no second way to the workers."""
     shared = df.sparkSession.sparkContext.broadcast(lang)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = Translator(shared.value)
         for p in parts:
-            yield _frame(p["id"], [_row(None, Stats()) if x is None else _row(*t.translate(x)) for x in p["text"]])
+            out = _frame(p["id"], [_row(None, Stats()) if x is None else _row(*t.translate(x)) for x in p["text"]])
+            yield out.assign(text=p["text"].to_numpy()) if keep_text else out
 
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return spread(src).mapInPandas(run, f"id {src.schema['id'].dataType.simpleString()}, {RESULT}")
+    return spread(src).mapInPandas(run, f"id {src.schema['id'].dataType.simpleString()}, {RESULT}" + ", text string" * keep_text)
 
 
 def translate_parsed(df: DataFrame, id_col: str, sentences_col: str, lang: Language) -> DataFrame:

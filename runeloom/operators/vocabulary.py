@@ -12,21 +12,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runeloom.functions.english import ly_bases_col, participle_candidates_col
+from runeloom.operators.ranking import ranked
 from runeloom.work import materialize
 
 # Categories of function words -> parts of speech that they may cover.
 COVERED_POS = {
-    "article": "DET NUM PRON", "pronoun": "PRON NOUN", "possessive": "PRON DET", "determiner": "DET PRON ADJ",
-    "correlative": "ADV PRON SCONJ DET NOUN", "quantifier": "DET ADJ PRON ADV NOUN", "numeral": "NUM", "preposition": "ADP SCONJ ADV PART",
-    "conjunction": "CCONJ SCONJ PRON DET ADP", "particle": "PART AUX ADV INTJ", "interjection": "INTJ ADV", "verb": "VERB AUX",
-}
+    "article": ["DET", "NUM", "PRON"],
+    "pronoun": ["PRON", "NOUN"],
+    "possessive": ["PRON", "DET"],
+    "determiner": ["DET", "PRON", "ADJ"],
+    "correlative": ["ADV", "PRON", "SCONJ", "DET", "NOUN"],
+    "quantifier": ["DET", "ADJ", "PRON", "ADV", "NOUN"],
+    "numeral": ["NUM"],
+    "preposition": ["ADP", "SCONJ", "ADV", "PART"],
+    "conjunction": ["CCONJ", "SCONJ", "PRON", "DET", "ADP"],
+    "particle": ["PART", "AUX", "ADV", "INTJ"],
+    "interjection": ["INTJ", "ADV"],
+    "verb": ["VERB", "AUX"],
+}
 # Fixed values: (lemma, part of speech) that the grammar of the made language absorbs.
 ABSORBED = {
-    "AUX": "be have do will would shall should may might must can could let ought need dare ’ll ’d ’ve ’m ’re",
-    "PART": "to not n't 's ’s ' n’t",
-    "PRON": "there n’t ’s myself yourself himself herself itself ourselves yourselves themselves",
-    "DET": "’s",
-    "VERB": "be",
+    "AUX": ["be", "have", "do", "will", "would", "shall", "should", "may", "might", "must", "can", "could", "let", "ought", "need", "dare", "’ll", "’d", "’ve", "’m", "’re"],
+    "PART": ["to", "not", "n't", "'s", "’s", "'", "n’t"],
+    "PRON": ["there", "n’t", "’s", "myself", "yourself", "himself", "herself", "itself", "ourselves", "yourselves", "themselves"],
+    "DET": ["’s"],
+    "VERB": ["be"],
 }
 IGNORED_POS = ("PUNCT", "SPACE", "SYM", "X")
 CONTENT_POS = ("NOUN", "VERB", "ADJ", "ADV", "INTJ")
@@ -35,7 +45,7 @@ TARGETS = (0.90, 0.95, 0.97, 0.98, 0.99, 0.995)
 
 def function_index(functions: DataFrame) -> DataFrame:
     """(word, pos): every single English word of the function words (kz, en, cat) with the parts of speech that it may cover. A qualifier in brackets is dropped; several words in a row aren't in the index."""
-    cats = F.create_map(*[x for c, p in COVERED_POS.items() for x in (F.lit(c), F.split(F.lit(p), " "))])
+    cats = F.create_map(*[x for c, p in COVERED_POS.items() for x in (F.lit(c), F.array(*map(F.lit, p)))])
     e = functions.select("cat", F.explode("en").alias("w")).withColumn("word", F.regexp_replace(F.lower("w"), r" \(.*", "")).where(~F.col("word").contains(" "))
     return e.select("word", F.explode(F.try_element_at(cats, F.col("cat"))).alias("pos")).distinct()
 
@@ -43,7 +53,7 @@ def function_index(functions: DataFrame) -> DataFrame:
 def classify(tokens: DataFrame, index: DataFrame) -> DataFrame:
     """``tokens`` (lemma, pos, like_num) with ``bucket``: number, name, absorbed, function, content or fgap, the first that holds. Punctuation and such is left out. The index of function words is a closed class of some hundred words."""
     t = tokens.where(~F.col("pos").isin(*IGNORED_POS)).withColumn("lemma", F.lower("lemma"))
-    absorbed = reduce(lambda a, b: a | b, [(F.col("pos") == p) & F.col("lemma").isin(*w.split(" ")) for p, w in ABSORBED.items()])
+    absorbed = reduce(lambda a, b: a | b, [(F.col("pos") == p) & F.col("lemma").isin(*w) for p, w in ABSORBED.items()])
     hit = index.select(F.col("word").alias("lemma"), "pos", F.lit(True).alias("is_function"))
     t = t.join(F.broadcast(hit), ["lemma", "pos"], "left")
     bucket = F.when((F.col("pos") == "NUM") | F.col("like_num"), "number").when(F.col("pos") == "PROPN", "name").when(absorbed, "absorbed").when(F.col("is_function"), "function")
@@ -102,10 +112,9 @@ def fold_participles(senses: DataFrame) -> DataFrame:
 def worklist(senses: DataFrame, words: int | Column, free: int | Column) -> DataFrame:
     """(rank, lemma, pos, count, per_million, cum_coverage, place), most frequent first, ties by lemma and part of speech. ``words``: all tokens; ``free``: those that need no entry.
 
-    The ranking is a global order; it is made on distinct senses, after all counting, and its running sum on one task's worth of them."""
-    order = Window.orderBy(F.desc("count"), "lemma", "pos")
-    cum = F.sum("count").over(order.rowsBetween(Window.unboundedPreceding, 0)) + free
-    return senses.select(F.row_number().over(order).cast("bigint").alias("rank"), "lemma", "pos", "count", (F.col("count") * 1e6 / words).alias("per_million"), (cum / words).alias("cum_coverage"), "place")
+    Made on distinct senses, after all counting; they are ranked by range, so no task holds them all."""
+    x = ranked(senses.select("lemma", "pos", "count", "place", F.lit(words).alias("__words"), F.lit(free).alias("__free")), F.desc("count"), "lemma", "pos", total="count")
+    return x.select("rank", "lemma", "pos", "count", (F.col("count") * 1e6 / F.col("__words")).alias("per_million"), ((F.col("running") + F.col("__free")) / F.col("__words")).alias("cum_coverage"), "place")
 
 
 def entries_needed(ranked: DataFrame, targets: tuple[float, ...] = TARGETS) -> DataFrame:
@@ -151,6 +160,12 @@ def merge_worklists(lists: list[DataFrame]) -> DataFrame:
     return x.groupBy("lemma", "pos").agg(F.sum("count").alias("count"), (F.sum("per_million") / len(lists)).alias("per_million"), F.max_by("example", F.struct("per_million", -F.col("corpus"))).alias("example"))
 
 
+def merged_worklist(merged: DataFrame, free: float) -> DataFrame:
+    """The merged worklist with ``rank`` and ``cum_coverage``: the mean share that needs no entry (``free``) and the summed mean rates up to each sense."""
+    x = ranked(merged.withColumn("__rate", F.col("per_million") / 1e6), F.desc("per_million"), "lemma", "pos", total="__rate")
+    return x.select("rank", "lemma", "pos", "count", "per_million", (F.col("running") + F.lit(free)).alias("cum_coverage"), "example")
+
+
 def goal_entries(merged: DataFrame, rates: DataFrame, free: DataFrame, covered: DataFrame, goal: float) -> DataFrame:
     """The smallest number of uncovered senses, taken in the merged order, with which every corpus reaches ``goal``: (needed, senses).
 
@@ -158,7 +173,7 @@ def goal_entries(merged: DataFrame, rates: DataFrame, free: DataFrame, covered:
     known = covered.select("lemma", "pos").distinct()
     base = rates.join(known, ["lemma", "pos"], "left_semi").groupBy("corpus").agg((F.sum("per_million") / 1e6).alias("known"))
     base = free.join(base, "corpus", "left").select("corpus", (F.col("free") + F.coalesce("known", F.lit(0.0))).alias("start"))
-    todo = merged.join(known, ["lemma", "pos"], "left_anti").select("lemma", "pos", F.row_number().over(Window.orderBy(F.desc("per_million"), "lemma", "pos")).alias("n"))
+    todo = ranked(merged.join(known, ["lemma", "pos"], "left_anti"), F.desc("per_million"), "lemma", "pos").select("lemma", "pos", F.col("rank").alias("n"))
     run = Window.partitionBy("corpus").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     steps = rates.join(todo, ["lemma", "pos"]).join(F.broadcast(base), "corpus").select("corpus", "n", (F.col("start") + F.sum(F.col("per_million") / 1e6).over(run)).alias("got"))
     reached = steps.groupBy("corpus").agg(F.min(F.when(F.col("got") >= goal, F.col("n"))).alias("n"))

@@ -17,7 +17,7 @@ _REASON = f"""r AS (SELECT *, {_NORM('en')} AS n, CASE WHEN unknown_n > 0 THEN '
 k AS (SELECT *, CASE WHEN bad IS NOT NULL THEN bad WHEN en IS NOT NULL AND row_number() OVER (PARTITION BY n, bad ORDER BY ordinal) > 1 THEN 'duplicate' END AS reason FROM r)"""
 _PACK = "WITH " + _REASON.replace("SOURCE", "(SELECT * FROM parallel_records WHERE en IS NOT NULL AND kz IS NOT NULL)") + f", p AS (SELECT *, {_SPLIT('n', VAL_SHARE)} AS pack_split FROM k WHERE reason IS NULL) "
 
-_ABSORBED = " OR ".join(f"(pos = '{p}' AND lemma IN ({', '.join(repr(w) if chr(39) not in w else chr(39) + w.replace(chr(39), chr(39) * 2) + chr(39) for w in ws.split(' '))}))" for p, ws in ABSORBED.items())
+_ABSORBED = " OR ".join(f"(pos = '{p}' AND lemma IN ({', '.join(repr(w) if chr(39) not in w else chr(39) + w.replace(chr(39), chr(39) * 2) + chr(39) for w in ws)}))" for p, ws in ABSORBED.items())
 _KNOWN = ", ".join(f"('{a}', '{v}')" for a, v in PARTICIPLES.items())
 
 # candidates (word, place, base) of adverbs and of participles, from a table with the column {0}
@@ -107,6 +107,7 @@ ORACLES: dict[str, str] = {
     "lexicon_status": _C + " SELECT count(*) AS senses, round(sum(per_million) / 1e6 + any_value(free / words), 6) AS covered, round(any_value(free / words), 6) AS free FROM wl, tot WHERE (lemma, pos) IN (SELECT (lemma, pos) FROM sense)",
     "next_uncovered": _C + " SELECT rank, lemma, pos, count FROM wl WHERE (lemma, pos) NOT IN (SELECT (lemma, pos) FROM sense) ORDER BY rank LIMIT 40",
     "merge_worklists": _CORPORA + " SELECT lemma, pos, count, round(per_million, 4) AS per_million FROM m",
+    "merged_coverage": _CORPORA + ", r AS (SELECT row_number() OVER o AS rank, lemma, pos, sum(per_million / 1e6) OVER (o ROWS UNBOUNDED PRECEDING) AS s FROM m WINDOW o AS (ORDER BY per_million DESC, lemma, pos)) SELECT rank, lemma, pos, round(s + (SELECT avg(free) FROM (SELECT DISTINCT corpus, free FROM w)), 6) AS cum_coverage FROM r",
     "merge_goal": _CORPORA + f""", {_SENSES}, known AS (SELECT DISTINCT lemma, pos FROM sense),
 base AS (SELECT corpus, any_value(free) + coalesce(sum(per_million) FILTER ((lemma, pos) IN (SELECT (lemma, pos) FROM known)), 0) / 1e6 AS start FROM w GROUP BY 1),
 todo AS (SELECT lemma, pos, row_number() OVER (ORDER BY per_million DESC, lemma, pos) AS n FROM m WHERE (lemma, pos) NOT IN (SELECT (lemma, pos) FROM known)),

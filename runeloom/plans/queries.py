@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runeloom.functions import english, loan, morphology, text
 from runeloom.operators import glosses, lexicon, near, packing, phonotactics, tagging, translation, vocabulary, wordgen
+from runeloom.operators.ranking import ranked
 from runeloom.sources.records import parse_records
 from runeloom.tables import table
 from runeloom.work import materialize, spread
@@ -157,7 +158,7 @@ def tagged_types(spark: SparkSession, d: str) -> DataFrame:
 def word_freq_rank(spark: SparkSession, d: str) -> DataFrame:
     """Distinct English words by frequency."""
     t = tagging.word_types(table(spark, d, "parallel_records", "ordinal", "en"), "en", "ordinal").groupBy(F.lower("word").alias("word")).agg(F.sum("n").alias("n"))
-    return t.select("word", "n", F.row_number().over(Window.orderBy(F.desc("n"), "word")).cast("bigint").alias("rank"))
+    return ranked(t, F.desc("n"), "word").select("word", "n", "rank")
 
 
 @query
@@ -225,6 +226,15 @@ def merge_worklists(spark: SparkSession, d: str) -> DataFrame:
     return _merged(spark, d)[0].select("lemma", "pos", "count", F.round("per_million", 4).alias("per_million"))
 
 
+@query
+def merged_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """The merged worklist in order, with its rank and cumulative coverage over the corpora's mean share that needs no entry."""
+    merged, _, classified = _merged(spark, d)
+    free = [c.agg((F.sum(F.when(~F.col("bucket").isin("content", "fgap"), F.col("n")).otherwise(0)) / F.sum("n")).alias("free")).first().free or 0.0 for c in classified]
+    w = vocabulary.merged_worklist(merged, sum(free) / len(free))
+    return w.select("rank", "lemma", "pos", F.round("cum_coverage", 6).alias("cum_coverage"))
+
+
 @query
 def merge_goal(spark: SparkSession, d: str) -> DataFrame:
     """How many new senses bring every corpus to the goal."""

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from datetime import datetime, timezone
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,13 +50,43 @@ def write_parallel(df: DataFrame, path: str, split_col: str, mode: str = "errori
     df.select("id", "en", "kz", split_col).write.mode(mode).partitionBy(split_col).json(path)
 
 
-def write_manifest(path: str, content: dict) -> Path:
-    """A JSON file beside the data, written whole; ``content`` comes from aggregates of the data itself."""
-    p = Path(path)
-    p.parent.mkdir(parents=True, exist_ok=True)
-    tmp = p.with_suffix(".tmp")
-    tmp.write_text(json.dumps(content | {"written": datetime.now(timezone.utc).isoformat()}, indent=1, ensure_ascii=False), encoding="utf-8")
-    return tmp.replace(p)
+def _file(spark: SparkSession, path: str):
+    """(file system, path) of any file system that Spark can reach."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _file(spark, path)
+    return fs.exists(p)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file, as a whole."""
+    fs, p = _file(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file, written beside its place and then put there."""
+    fs, p = _file(spark, path)
+    tmp = p.suffix(".tmp")
+    stream = fs.create(tmp, True)
+    try:
+        stream.write(bytearray(text.encode("utf-8")))
+    finally:
+        stream.close()
+    fs.delete(p, False)
+    fs.rename(tmp, p)
+
+
+def write_manifest(spark: SparkSession, path: str, content: dict) -> None:
+    """A JSON file beside the data; ``content`` comes from aggregates of the data itself."""
+    write_text(spark, path, json.dumps(content | {"written": datetime.now(timezone.utc).isoformat()}, indent=1, ensure_ascii=False))
 
 
 def markdown_table(df: DataFrame, limit: int) -> list[str]:
