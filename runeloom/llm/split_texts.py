@@ -24,12 +24,12 @@ _WHITE = np.frombuffer(b" \t\n\r\x0b\x0c", dtype=np.uint8)
 TOKEN, WORD, CLAUSE, SENTENCE, LINE, PARAGRAPH = range(6)
 #: Abbreviations whose point ends no sentence.
 ABBREVIATIONS = ("Mr", "Mrs", "Ms", "Dr", "St", "No", "vs", "e.g", "i.e")
-NO_END = "".join(rf"(?<!\b{re.escape(a)})" for a in ABBREVIATIONS)
+NO_END = "".join(rf"(?<!\b{re.escape(a)}\.)" for a in ABBREVIATIONS)
 #: What a boundary of each strength follows; the boundary is the end of the match. A sentence or clause ends before the space, which belongs to the next word's token; full-width marks end a sentence without one.
 #: Words (before white space) and lines (after a line break) are told from the bytes.
 _BREAKS = (
     (CLAUSE, re.compile(r"[,;:—–][\"'”’)\]]*(?=\s)")),
-    (SENTENCE, re.compile(rf"(?:{NO_END}\.|[!?…])[\"'”’)\]]*(?=\s)|[。！？][\"'”’)\]」』]*")),
+    (SENTENCE, re.compile(rf"(?:\.{NO_END}|[!?…])[\"'”’)\]]*(?=\s)|[。！？][\"'”’)\]」』]*")),
     (PARAGRAPH, re.compile(r"\n[ \t\r]*\n\s*")),
 )
 
