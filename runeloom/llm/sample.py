@@ -44,7 +44,8 @@ def block_sample(df: DataFrame, id_col: str, text_col: str, seq_col: str, order_
     name = "unit"
     chosen = chosen.select(F.col("__unit").alias(name), F.xxhash64("__unit").alias("key"))
     rows = df.where(F.col(seq_col).isNotNull()).select(F.struct(*[F.col(c) for c in df.columns]).alias("row"), unit.alias(name)).withColumn("key", F.xxhash64(name))
-    return asked_only(rows, chosen.select("key")).join(chosen.select(name), name, "left_semi").select("row.*")
+    # an inner join with distinct units: a semi join would be moved below the bitmap and shuffle every row
+    return asked_only(rows, chosen.select("key")).join(chosen.select(name), name).select("row.*")
 
 
 def sample_sql(source: str, columns: str, id_col: str, text_col: str, seq_col: str, order_col: str, per_block: int, seed: int = 1, bits: int = BITS) -> str:
