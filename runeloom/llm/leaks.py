@@ -4,7 +4,7 @@ Fixed masks read some positions of a window of words and ignore the others. The
 all windows of the evaluation items are joined with those of all windows of the documents, and around every hit
 the two texts are laid over each other: words that were substituted don't break an overlap. Of any overlap of RUN
 words or more with 3 of 4 equal, wherever the others stand, at least one mask reads equal words only, so none is
-lost. Where only exact runs are asked for, the one mask of RUN words in a row is enough.
+lost. An exact run leaves every mask whole; it is told from other overlaps where the texts are laid over each other.
 """
 
 from __future__ import annotations
@@ -33,19 +33,19 @@ _BITS = 22
 _CELLS = 1 << 21
 
 
-def build(items: list[tuple[int, str | None]], exact: bool = False) -> dict[str, np.ndarray]:
-    """The hashed windows of one block of items, as arrays: for each mask its hashes in order, where they come from, and a bitmap."""
+def build(items: list[tuple[int, str | None]]) -> dict[str, np.ndarray]:
+    """The hashed windows of one block of items, as arrays: for each mask its hashes in order, where they come from, and a bitmap.
+    An item gives a window for every place at which a mask fits; one too short for all masks is read whole."""
     split = [words(t) for _, t in items]
     word, offsets = word_hashes(split)
     lengths = np.diff(offsets)
     out = {"ids": np.array([i for i, _ in items], dtype=np.int64), "words": word, "offsets": offsets, "need": np.minimum(lengths, RUN)}
-    whole = [tuple(range(n)) for n in range(1, RUN) if (lengths == n).any()]
-    seeds = [tuple(range(RUN))] if exact else MASKS
-    for k, mask in enumerate((*seeds, *whole)):
+    whole = [tuple(range(n)) for n in range(1, min(m[-1] for m in MASKS) + 1)]
+    for k, mask in enumerate((*MASKS, *whole)):
         at = whole_windows(offsets, mask[-1] + 1)
         item = np.searchsorted(offsets, at, side="right") - 1
-        keep = lengths[item] >= RUN if k < len(seeds) else lengths[item] == len(mask)
-        at, item = at[keep], item[keep]
+        if k >= len(MASKS):
+            at, item = (x[lengths[item] == len(mask)] for x in (at, item))
         if not len(at):
             continue
         h = window_hashes(word, mask)[at]
@@ -57,6 +57,16 @@ def build(items: list[tuple[int, str | None]], exact: bool = False) -> dict[str,
     return out
 
 
+def _parts(n: np.ndarray) -> Iterator[slice]:
+    """Slices of ``n``, one after another, each of about _CELLS in sum."""
+    ends = np.cumsum(n)
+    at = 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _CELLS, side="right")))
+        yield slice(at, to)
+        at = to
+
+
 class Index:
     """The hashed windows of one block of items."""
 
@@ -66,7 +76,7 @@ class Index:
         self.tables = [(tuple(arrays[f"{k} mask"].tolist()), *(arrays[f"{k} {x}"] for x in ("hash", "at", "item", "bits"))) for k in numbers]
 
     def hits(self, doc: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(position in the documents' words, item, position in the items' words) of equal hashes, mask by mask."""
+        """(position in the documents' words, item, position in the items' words) of equal hashes, mask by mask, about _CELLS at a time."""
         for mask, h, at, item, bits in self.tables:
             h_doc = window_hashes(doc, mask)
             bit = (h_doc >> np.uint64(64 - _BITS)).astype(np.int64)
@@ -77,8 +87,10 @@ class Index:
             may, lo, n = may[some], lo[some], n[some]
             inside = np.searchsorted(offsets, may, side="right") == np.searchsorted(offsets, may + mask[-1], side="right")
             may, lo, n = may[inside], lo[inside], n[inside]
-            pick = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            yield np.repeat(may, n), item[pick], at[pick]
+            for part in _parts(n):
+                m = n[part]
+                pick = np.repeat(lo[part], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                yield np.repeat(may[part], m), item[pick], at[pick]
 
 
 def _runs(equal: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,15 +117,11 @@ def _runs(equal: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _laid(x: np.ndarray, x_from: np.ndarray, y: np.ndarray, y_from: np.ndarray, length: np.ndarray) -> Iterator[np.ndarray]:
     """The runs, spans and equal words of every pair of stretches of ``x`` and ``y``, in their order, about _CELLS words at a time."""
-    ends = np.cumsum(length)
-    at = 0
-    while at < len(length):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _CELLS, side="right")))
-        n = length[at:to]
+    for part in _parts(length):
+        n = length[part]
         starts = np.cumsum(n) - n
         k = np.arange(n.sum()) - np.repeat(starts, n)
-        yield np.stack(_runs(x[k + np.repeat(x_from[at:to], n)] == y[k + np.repeat(y_from[at:to], n)], starts))
-        at = to
+        yield np.stack(_runs(x[k + np.repeat(x_from[part], n)] == y[k + np.repeat(y_from[part], n)], starts))
 
 
 def _search(path: str, block: int):
@@ -124,12 +132,16 @@ def _search(path: str, block: int):
         for b in slices(batches):
             doc, offsets = word_hashes([words(t) for t in b.column(1).to_pylist()])
             seen: dict[tuple[int, int], list[int]] = {}
-            found = [np.stack(x) for x in ix.hits(doc, offsets)]
-            if found and (rows := np.concatenate(found, axis=1)).size:
-                d = np.searchsorted(offsets, rows[0], side="right") - 1
-                # one look at each overlay of a document and an item, however many masks and windows hit
-                overlay = np.unique(np.stack([d, rows[1], (rows[0] - offsets[d]) - (rows[2] - ix.offsets[rows[1]])]), axis=1)
-                i, t, shift = overlay
+            # one look at each overlay of a document and an item, however many masks and windows hit; (document, item, shift) as one number,
+            # which fits: a slice is one document or 2,000 with 8 MB of text, and the items are those of one block
+            found, shifts = [], len(doc) + len(ix.words)
+            for p, t, q in ix.hits(doc, offsets):
+                d = np.searchsorted(offsets, p, side="right") - 1
+                found.append(np.unique((d * len(ix.ids) + t) * shifts + (p - offsets[d]) - (q - ix.offsets[t]) + len(ix.words)))
+            if found:
+                texts, shift = np.divmod(np.unique(np.concatenate(found)), shifts)
+                i, t = np.divmod(texts, len(ix.ids))
+                shift -= len(ix.words)
                 lo = np.maximum(0, shift)
                 length = np.minimum(np.diff(offsets)[i], np.diff(ix.offsets)[t] + shift) - lo
                 laid = np.concatenate(list(_laid(doc, offsets[i] + lo, ix.words, ix.offsets[t] + lo - shift, length)), axis=1)
@@ -145,17 +157,16 @@ def _search(path: str, block: int):
     return run
 
 
-def leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str, exact: bool = False) -> DataFrame:
+def leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
     """(doc, item, run, span, equal, need): each document and item with a seed hit: the longest run of equal words, the length of the best
-    single overlap with substitutions and the equal words in it, and the run that makes a leak (RUN words, or all of a shorter item). With ``exact``
-    only overlays that hold such a run are looked for: every leak comes out, other overlaps don't.
+    single overlap with substitutions and the equal words in it, and the run that makes a leak (RUN words, or all of a shorter item).
 
     Null and empty texts hold nothing and leak nothing. Items are the stated query set: their index is built from blocks of at most about
     BLOCK_CHARS characters by executors, kept in the shared folder and loaded by the workers, one at a time; every document meets all in turn; documents are never shuffled. A row is made for each document row, so repeated ids give repeated rows."""
     it = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
     chars = it.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = -(-chars // BLOCK_CHARS) or 1
-    path = write_shards(it.select(F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int").alias("shard"), "i", "t"), blocks, lambda rows: build([(r["i"], r["t"]) for r in rows], exact), "items")
+    path = write_shards(it.select(F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int").alias("shard"), "i", "t"), blocks, lambda rows: build([(r["i"], r["t"]) for r in rows]), "items")
     src = spread(docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(doc_text).alias("text")))
     found = [src.mapInArrow(_search(path, k), "doc bigint, item bigint, run bigint, span bigint, equal bigint, need bigint") for k in range(blocks)]
     return reduce(DataFrame.unionByName, found)

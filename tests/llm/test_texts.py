@@ -15,8 +15,9 @@ from runeloom.llm import leaks as leaks_module
 from runeloom.llm.format_copies import canonical_object, canonical_record, copies_of_first, copy_counts, json_field
 from runeloom.llm.leaks import leaks
 from runeloom.llm.pack import MAX_DOCS, best_fit, containers
-from runeloom.llm.queries import p8_report
+from runeloom.llm.queries import p8_found, p8_report
 from runeloom.llm.sample import block_sample, permuted
+from runeloom.llm.shards import load
 from runeloom.llm.split_texts import LINE, PARAGRAPH, SENTENCE, boundaries, cut, split_texts
 from runeloom.llm.terms import map_terms, term_counts, text_terms, total_records
 from runeloom.llm.tokens import TOKENIZER, Tokenizer
@@ -298,6 +299,42 @@ def test_report_equals_brute_force(spark, tmp_path):
     assert got == want and any(docs > exact for exact, docs, _ in want.values())
 
 
+def test_found_comes_through_the_spaced_masks(spark, tmp_path, monkeypatch):
+    name = lambda i, n: [f"i{i}x{k}" for k in range(n)]
+    items = [(n, " ".join(name(n, n))) for n in range(31)]
+    docs = []
+    for n in range(1, 31):
+        need, w = min(n, 12), ["before", *name(n, n), "after"]
+        for at in {1, n - need + 1}:  # the first and the last run
+            docs += [(len(docs), " ".join(w[at - 1 : at + need])), (len(docs) + 1, " ".join(w[at : at + need - 1]))]
+        docs.append((len(docs), " ".join(v if k % 12 else "other" for k, v in enumerate(w))))  # words 12 and 24 substituted: no run of 12
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    want = set()
+    for d, t in docs:
+        for i, u in items:
+            x, y, n = t.split(), u.split(), min(12, len(u.split()))
+            if n and {tuple(x[k : k + n]) for k in range(len(x) - n + 1)} & {tuple(y[k : k + n]) for k in range(len(y) - n + 1)}:
+                want.add((d, i))
+    paths, write = [], leaks_module.write_shards
+    monkeypatch.setattr(leaks_module, "write_shards", lambda *a: paths.append(write(*a)) or paths[-1])
+    assert {tuple(r) for r in p8_found(spark, str(tmp_path)).collect()} == want and {i for _, i in want} == {*range(1, 31)}
+    tables = {mask: {*ids[item].tolist()} for ids, ts in [(ix.ids, ix.tables) for ix in [load(paths[0], 0, leaks_module.Index)]] for mask, _, _, item, _ in ts}
+    # every item is read by every mask that fits into it, and only those under 6 words, into which none fits, are read whole
+    assert tables == {m: {*range(m[-1] + 1, 31)} for m in leaks_module.MASKS} | {tuple(range(n)): {n} for n in range(1, 6)}
+
+
+def test_hits_in_parts(monkeypatch):
+    ix = leaks_module.Index(leaks_module.build([(7, "a " * 30), (8, "b a a c"), (9, "a " * 12)]))
+    doc, offsets = leaks_module.word_hashes([["a"] * 40, ["b", *"aac"], ["a"] * 3])
+    all_hits = lambda: [np.stack(x) for x in ix.hits(doc, offsets)]
+    once = all_hits()
+    monkeypatch.setattr(leaks_module, "_CELLS", 100)
+    parts = all_hits()
+    assert len(parts) > 3 * len(once) and max(x.shape[1] for x in parts) <= 100
+    assert np.array_equal(np.concatenate(once, axis=1), np.concatenate(parts, axis=1))
+
+
 # --- pieces -------------------------------------------------------------------
 
 TEXTS = st.lists(st.sampled_from(["stone", "hall", ".", ", ", " ", "\n", "\n\n", "é", "日本語", "🙂", "a" * 40, " The", "!\" "]), min_size=1, max_size=200).map("".join)
